@@ -1,0 +1,251 @@
+"""Carrying out a plan: stage, transform, publish."""
+
+from __future__ import annotations
+
+import math
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.convert import OUTCOME_COLUMNS, transform, transform_in_workers
+from tidemark.operators.directories import ancestor_dirs, removable_dirs
+from tidemark.operators.rules import check_rules
+from tidemark.plans.plan import SyncPlan, plan
+from tidemark.plans.spec import SyncSpec
+from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES, load_payload
+from tidemark.sources.snapshots import SnapshotStore
+
+#: content per task and per Arrow batch of the Python converters
+WORKER_PARTITION_BYTES = 128 << 20
+WORKER_BATCH_BYTES = 32 << 20
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+class ConflictError(RuntimeError):
+    """Several sources share one target."""
+
+
+class EmptySourceError(RuntimeError):
+    """An empty source would delete the whole target."""
+
+
+@dataclass(frozen=True)
+class SyncResult:
+    """``outcome`` has one row per item, whatever became of it; ``version`` is the current one."""
+
+    outcome: DataFrame
+    version: int | None
+    published: bool
+
+
+def _staged(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Write once and go on from the written table, so nothing is computed twice."""
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _statistics(diff: DataFrame) -> list[Row]:
+    """Counts and sizes per kind of row: a handful of groups."""
+    size = F.coalesce("size", F.lit(0))
+    return (
+        diff.groupBy("action", "reason", "kind", "source_rank")
+        .agg(
+            F.count("*").alias("items"),
+            F.sum(size).alias("bytes"),
+            F.max(size).alias("largest"),
+            F.sum(F.octet_length("target_path") + F.octet_length(F.coalesce("rel_path", F.lit("")))).alias("key_bytes"),
+        )
+        .collect()
+    )
+
+
+@contextmanager
+def _batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bound the rows per Arrow batch, since rows carry whole contents."""
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
+def _guard(plan: SyncPlan, statistics: list[Row], diff: DataFrame) -> None:
+    if any(row.source_rank == 2 for row in statistics):
+        shown = diff.filter("source_rank = 2").select("target_path").limit(5).collect()
+        raise ConflictError("several sources for " + ", ".join(row.target_path for row in shown))
+    deletes = any(row.action == "delete" for row in statistics)
+    has_work = any(row.source_rank is not None for row in statistics)
+    if deletes and not has_work and not plan.spec.allow_empty_source and plan.source.isEmpty():
+        raise EmptySourceError("the source is empty and the target is not")
+
+
+def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame, statistics: list[Row]) -> tuple[DataFrame, int]:
+    """The worked items with their content, and the row bound for their Arrow batches."""
+    spec, spark = plan.spec, diff.sparkSession
+    work = diff.filter(F.col("action").isin("convert", "copy")).select(
+        "rel_path", "target_path", "action", "converter", "kind", "mtime", "mode"
+    )
+    todo = [row for row in statistics if row.action in ("convert", "copy")]
+    in_workers = [row for row in todo if row.kind in ("udf", "command")]
+    on_jvm = [row for row in todo if row.kind not in ("udf", "command")]
+    parts: list[DataFrame] = []
+    batch_rows = int(spark.conf.get(_BATCH_ROWS))
+    python_kind = F.coalesce(F.col("kind").isin("udf", "command"), F.lit(False))
+    if on_jvm:
+        key_bytes = sum(row.key_bytes for row in on_jvm)
+        loaded = load_payload(payload, work.filter(~python_kind), key_bytes)
+        parts.append(transform(loaded, spec.converters, spec.allow_empty_output))
+    if in_workers:
+        key_bytes = sum(row.key_bytes for row in in_workers)
+        # the cost follows the bytes, so they set the number of tasks
+        tasks = max(
+            spark.sparkContext.defaultParallelism,
+            math.ceil(sum(row.bytes for row in in_workers) / WORKER_PARTITION_BYTES),
+        )
+        chosen = work.filter(python_kind)
+        if key_bytes <= MAX_BROADCAST_KEY_BYTES:
+            loaded = load_payload(payload, chosen, key_bytes).repartition(tasks, "rel_path")
+        else:
+            loaded = load_payload(payload, chosen.repartition(tasks, "rel_path"))
+        parts.append(
+            transform_in_workers(
+                loaded, spec.rules.converters, spec.converters, spec.allow_empty_output, spec.command_timeout
+            )
+        )
+        largest = max(row.largest for row in in_workers)
+        batch_rows = max(1, min(batch_rows, WORKER_BATCH_BYTES // max(largest, 1)))
+    return reduce(DataFrame.unionByName, parts), batch_rows
+
+
+def _outcome(diff: DataFrame, items: DataFrame | None) -> DataFrame:
+    """Worked items, and planned items whose content was gone."""
+    planned = diff.filter(F.col("action").isin("convert", "copy"))
+    done = planned.limit(0) if items is None else items
+    gone = planned.join(done.select("rel_path"), "rel_path", "left_anti").select(
+        "rel_path",
+        "target_path",
+        "action",
+        "converter",
+        F.lit("vanished").alias("status"),
+        F.lit(None).cast("int").alias("exit_code"),
+        F.lit("source is gone").alias("message"),
+        "mtime",
+    )
+    return gone if items is None else items.select(*OUTCOME_COLUMNS).unionByName(gone)
+
+
+def _skipped(diff: DataFrame) -> DataFrame:
+    return diff.filter("action = 'skip' and source_rank = 1").select(
+        "rel_path",
+        "target_path",
+        "action",
+        "converter",
+        F.lit("skipped").alias("status"),
+        F.lit(None).cast("int").alias("exit_code"),
+        F.lit(None).cast("string").alias("message"),
+        "mtime",
+    )
+
+
+def stamp(items: DataFrame, version: int) -> DataFrame:
+    """Manifest rows of the items that succeeded: they carry the source's version and mode."""
+    return items.filter("status = 'ok'").select(
+        F.col("target_path").alias("rel_path"), "mtime", "size", "mode", F.lit(version).cast("bigint").alias("data_version")
+    )
+
+
+def next_manifest(diff: DataFrame, stamped: DataFrame) -> DataFrame:
+    """The target's manifest after the run.
+
+    Rows that nothing happened to pass straight through; only stale rows have to be checked for a
+    replacement. A failed item leaves the old target row in place; orphans are dropped.
+    """
+    previous = diff.select(
+        "action",
+        "reason",
+        F.col("target_path").alias("rel_path"),
+        F.col("target_mtime").alias("mtime"),
+        F.col("target_size").alias("size"),
+        F.col("target_mode").alias("mode"),
+        (F.col("data_version") if "data_version" in diff.columns else F.lit(None)).cast("bigint").alias("data_version"),
+    )
+    untouched = previous.filter(F.col("action").isin("skip", "keep"))
+    unreplaced = previous.filter("reason = 'stale'").join(stamped.select("rel_path"), "rel_path", "left_anti")
+    return untouched.unionByName(unreplaced).drop("action", "reason").unionByName(stamped)
+
+
+def _next_dirs(plan: SyncPlan, manifest: DataFrame) -> DataFrame:
+    kept = plan.target_dirs
+    if plan.prunes:
+        kept = kept.join(removable_dirs(kept, plan.known_dirs, manifest), "path", "left_anti")
+    return kept.unionByName(plan.known_dirs).unionByName(ancestor_dirs(manifest)).distinct()
+
+
+def apply(plan: SyncPlan, payload: DataFrame, store: SnapshotStore, txn: str | None = None) -> SyncResult:
+    """Carry out ``plan``, reading ``payload(rel_path, content)`` only for rows that need work.
+
+    The comparison and the transformed items are each written once; the outcome and the new manifest
+    read them back. A run that finds nothing to do reads no content and publishes nothing. A
+    transaction name makes a repeated call a no-op.
+    """
+    spark = store.spark
+    check_rules(plan.spec.rules)
+    head = store.log.head()
+    if txn is not None and store.has_txn(txn):
+        return SyncResult(spark.createDataFrame([], _OUTCOME_SCHEMA), head["version"], False)
+    version, run = store.log.next_version(), txn or uuid.uuid4().hex
+
+    diff = _staged(spark, plan.diff, store.path("diff", version, run))
+    statistics = _statistics(diff)
+    _guard(plan, statistics, diff)
+
+    actions = {row.action for row in statistics}
+    if not actions & {"convert", "copy", "delete"} and plan.creates.isEmpty() and plan.delete_dirs.isEmpty():
+        return SyncResult(_skipped(diff), head["version"] if head else None, False)
+
+    tables = ["manifest", "dirs"]
+    items = None
+    if actions & {"convert", "copy"}:
+        transformed, batch_rows = _transformed(plan, diff, payload, statistics)
+        with _batch_rows(spark, batch_rows):
+            items = _staged(spark, transformed, store.path("items", version, run))
+        tables.append("items")
+        outcome = _staged(spark, _outcome(diff, items), store.path("outcome", version, run))
+        tables.append("outcome")
+    else:
+        outcome = _outcome(diff, None)
+
+    stamped = stamp(items, version) if items is not None else store.manifest().limit(0)
+    manifest = _staged(spark, next_manifest(diff, stamped), store.path("manifest", version, run))
+    _next_dirs(plan, manifest).write.mode("overwrite").parquet(store.path("dirs", version, run))
+    store.log.append(version, run=run, tables=tables, txn=txn)
+    return SyncResult(outcome.unionByName(_skipped(diff)), version, True)
+
+
+_OUTCOME_SCHEMA = (
+    "rel_path string, target_path string, action string, converter string, status string, exit_code int, "
+    "message string, mtime timestamp"
+)
+
+
+def run_sync(
+    spec: SyncSpec,
+    source: DataFrame,
+    payload: DataFrame,
+    store: SnapshotStore,
+    source_dirs: DataFrame | None = None,
+    initial_target: DataFrame | None = None,
+) -> SyncResult:
+    """Plan against the store's current version and carry the plan out.
+
+    ``initial_target`` stands in for the store's manifest until there is a published version.
+    """
+    fresh_store = store.log.head() is None
+    target = initial_target if fresh_store and initial_target is not None else store.manifest()
+    return apply(plan(spec, source, target, source_dirs, store.dirs()), payload, store)
