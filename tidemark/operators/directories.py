@@ -15,11 +15,16 @@ def ancestor_dirs(manifest: DataFrame, path: str = "rel_path") -> DataFrame:
     by their depth.
     """
     parents = manifest.select(parent_dir(path).alias("path")).filter("path is not null").distinct()
+    return with_ancestors(parents)
+
+
+def with_ancestors(dirs: DataFrame) -> DataFrame:
+    """Directories together with those above them."""
     parts = F.split("path", "/")
     prefixes = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
     )
-    return parents.select(F.explode(prefixes).alias("path")).distinct()
+    return dirs.select(F.explode(prefixes).alias("path")).distinct()
 
 
 def all_dirs(manifest: DataFrame, listed: DataFrame | None = None, path: str = "rel_path") -> DataFrame:

@@ -6,14 +6,15 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import file_ext, normalize_ext, target_path
 from tidemark.functions.templates import TEMPLATE_VARIABLES, template_error
 
-MAPPING_SCHEMA = "ext string, converter string, output_ext string"
-CONVERTER_SCHEMA = "name string, kind string, command array<string>"
+MAPPING_SCHEMA = pa.schema({"ext": pa.string(), "converter": pa.string(), "output_ext": pa.string()})
+CONVERTER_SCHEMA = pa.schema({"name": pa.string(), "kind": pa.string(), "command": pa.list_(pa.string())})
 
 #: rule tables up to this many rows are broadcast; larger ones are joined with a salted shuffle
 MAX_BROADCAST_RULES = 10_000
@@ -38,10 +39,12 @@ class Rules:
         mappings: Iterable[tuple[str, str | None, str | None]] = (),
         converters: Iterable[tuple[str, str, list[str] | None]] = (),
     ) -> Rules:
-        return Rules(
-            spark.createDataFrame(list(mappings), MAPPING_SCHEMA),
-            spark.createDataFrame(list(converters), CONVERTER_SCHEMA),
-        )
+        """Rule tables from rows. Being local relations, they are folded into the plans that use them."""
+
+        def table(rows: Iterable[tuple], schema: pa.Schema) -> DataFrame:
+            return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema))
+
+        return Rules(table(mappings, MAPPING_SCHEMA), table(converters, CONVERTER_SCHEMA))
 
     @staticmethod
     def from_config(spark: SparkSession, config: Mapping[str, Any]) -> Rules:

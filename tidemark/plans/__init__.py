@@ -1,7 +1,7 @@
 """Specs, plans and their execution."""
 
-from tidemark.plans.apply import ConflictError, EmptySourceError, SyncResult, apply, run_sync
-from tidemark.plans.plan import SyncPlan, plan
+from tidemark.plans.execution import ConflictError, EmptySourceError, SyncResult, apply, run_sync
+from tidemark.plans.planning import SyncPlan, plan
 from tidemark.plans.spec import SpecError, SyncSpec
 
 __all__ = [

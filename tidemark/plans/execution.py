@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.convert import OUTCOME_COLUMNS, transform, transform_in_workers
-from tidemark.operators.directories import ancestor_dirs, removable_dirs
+from tidemark.operators.directories import ancestor_dirs, with_ancestors
 from tidemark.operators.rules import check_rules
-from tidemark.plans.plan import SyncPlan, plan
+from tidemark.plans.planning import SyncPlan, plan
 from tidemark.plans.spec import SyncSpec
 from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES, load_payload
 from tidemark.sources.snapshots import SnapshotStore
@@ -23,6 +23,10 @@ from tidemark.sources.snapshots import SnapshotStore
 #: content per task and per Arrow batch of the Python converters
 WORKER_PARTITION_BYTES = 128 << 20
 WORKER_BATCH_BYTES = 32 << 20
+_OUTCOME_SCHEMA = (
+    "rel_path string, target_path string, action string, converter string, status string, exit_code int, "
+    "message string, mtime timestamp"
+)
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -180,11 +184,13 @@ def next_manifest(diff: DataFrame, stamped: DataFrame) -> DataFrame:
     return untouched.unionByName(unreplaced).drop("action", "reason").unionByName(stamped)
 
 
-def _next_dirs(plan: SyncPlan, manifest: DataFrame) -> DataFrame:
-    kept = plan.target_dirs
-    if plan.prunes:
-        kept = kept.join(removable_dirs(kept, plan.known_dirs, manifest), "path", "left_anti")
-    return kept.unionByName(plan.known_dirs).unionByName(ancestor_dirs(manifest)).distinct()
+def next_dirs(plan: SyncPlan, manifest: DataFrame) -> DataFrame:
+    """The target's directories after the run: the known ones and all that lead to something.
+
+    What would be removed is just the rest of the target's directories, so those need not be read.
+    """
+    dirs = with_ancestors(plan.known_dirs).unionByName(ancestor_dirs(manifest))
+    return (dirs if plan.prunes else dirs.unionByName(plan.target_dirs)).distinct()
 
 
 def apply(plan: SyncPlan, payload: DataFrame, store: SnapshotStore, txn: str | None = None) -> SyncResult:
@@ -223,17 +229,11 @@ def apply(plan: SyncPlan, payload: DataFrame, store: SnapshotStore, txn: str | N
 
     stamped = stamp(items, version) if items is not None else store.manifest().limit(0)
     manifest = _staged(spark, next_manifest(diff, stamped), store.path("manifest", version, run))
-    _next_dirs(plan, manifest).write.mode("overwrite").parquet(store.path("dirs", version, run))
+    next_dirs(plan, manifest).write.mode("overwrite").parquet(store.path("dirs", version, run))
     store.log.append(version, run=run, tables=tables, txn=txn)
     return SyncResult(outcome.unionByName(_skipped(diff)), version, True)
 
 
-_OUTCOME_SCHEMA = (
-    "rel_path string, target_path string, action string, converter string, status string, exit_code int, "
-    "message string, mtime timestamp"
-)
-
-
 def run_sync(
     spec: SyncSpec,
     source: DataFrame,

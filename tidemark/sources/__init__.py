@@ -1,6 +1,7 @@
 """Manifests, content and published snapshots."""
 
-from tidemark.sources.manifests import latest_versions, manifest_from, scan_manifest, scan_tree
+from tidemark.sources.listing import scan_tree
+from tidemark.sources.manifests import latest_versions, manifest_from, scan_manifest
 from tidemark.sources.payloads import load_payload
 from tidemark.sources.scratch import scratch_dir
 from tidemark.sources.snapshots import CommitLog, SnapshotStore, read_snapshot, write_snapshot

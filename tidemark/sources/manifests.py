@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import ColumnOrName, as_column, rel_path
-from tidemark.sources.scratch import scratch_dir
 
 MANIFEST_SCHEMA = "rel_path string, mtime timestamp, size bigint, mode int"
 _UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
-_LISTING_SCHEMA = "rel_path string, is_dir boolean, mtime_us bigint, size bigint, mode int"
-_LISTING_BATCH = 10_000
 
 
 def manifest_from(
@@ -74,66 +68,3 @@ def _plain_root(root: str) -> str:
         rest = root.split("://", 1)[1]
         return "/" + rest.split("/", 1)[1] if "/" in rest else "/"
     return os.path.abspath(root.removeprefix("file:"))
-
-
-def _list_directories(root: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of each directory; an unreadable directory fails the task."""
-    for batch in batches:
-        for directory in batch["rel_path"]:
-            rows: list[tuple] = []
-            for row in _entries(root, directory):
-                rows.append(row)
-                if len(rows) == _LISTING_BATCH:
-                    yield _listing(rows)
-                    rows = []
-            if rows:
-                yield _listing(rows)
-
-
-def _listing(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["rel_path", "is_dir", "mtime_us", "size", "mode"])
-    return frame.astype({"mode": "Int32"})
-
-
-def _entries(root: str, directory: str) -> Iterator[tuple]:
-    prefix = directory + "/" if directory else ""
-    if "://" in root:
-        from pyarrow import fs
-
-        filesystem, base = fs.FileSystem.from_uri(root)
-        for info in filesystem.get_file_info(fs.FileSelector(base.rstrip("/") + "/" + directory)):
-            is_dir = info.type == fs.FileType.Directory
-            yield prefix + info.base_name, is_dir, (info.mtime_ns or 0) // 1000, info.size or 0, None
-    else:
-        with os.scandir(os.path.join(root, directory)) as entries:
-            for entry in entries:
-                stat = entry.stat(follow_symlinks=False)
-                is_dir = entry.is_dir(follow_symlinks=False)
-                yield prefix + entry.name, is_dir, stat.st_mtime_ns // 1000, stat.st_size, stat.st_mode & 0o7777
-
-
-def scan_tree(spark: SparkSession, root: str, scratch: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Every file and every directory below ``root``, listed by the executors.
-
-    Directories are listed one level at a time, spread over the tasks; each level is a written table,
-    so a lost executor costs one listing again. Dot files and empty directories are included. Returns
-    ``(manifest, dirs)``; ``dirs`` has a ``path`` column and does not contain the root.
-    """
-    root = root.removeprefix("file:") if "://" not in root else root
-    scratch = scratch or scratch_dir(spark, "listing")
-    pending = spark.createDataFrame([("",)], "rel_path string")
-    levels: list[DataFrame] = []
-    while True:
-        level_path = f"{scratch}/level={len(levels)}"
-        listed = pending.mapInPandas(lambda batches: _list_directories(root, batches), _LISTING_SCHEMA)
-        listed.write.parquet(level_path)
-        level = spark.read.schema(_LISTING_SCHEMA).parquet(level_path)
-        levels.append(level)
-        pending = level.filter("is_dir").select("rel_path")
-        if pending.isEmpty():
-            break
-        pending = pending.repartition("rel_path")
-    found = reduce(DataFrame.unionByName, levels)
-    files = found.filter(~F.col("is_dir"))
-    manifest = manifest_from(files, "rel_path", F.timestamp_micros("mtime_us"), "size", "mode")
-    return manifest, found.filter("is_dir").select(F.col("rel_path").alias("path"))

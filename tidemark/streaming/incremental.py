@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.plans.apply import SyncResult, apply
-from tidemark.plans.plan import plan
+from tidemark.plans.execution import SyncResult, apply
+from tidemark.plans.planning import plan
 from tidemark.plans.spec import SyncSpec
 from tidemark.sources.manifests import latest_versions
 from tidemark.sources.snapshots import SnapshotStore
