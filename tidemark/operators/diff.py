@@ -51,24 +51,16 @@ def target_conflicts(work: DataFrame) -> DataFrame:
 # --- comparison ---------------------------------------------------------------------------------------
 
 
-def reconcile(
+def _compare(
     work: DataFrame,
     target: DataFrame,
+    how: str,
     window: int = 0,
     protect: Iterable[str] = (),
     strict: bool = True,
     newer_only: bool = False,
 ) -> DataFrame:
-    """Source work and target manifest side by side: one pass that also finds the orphans.
-
-    ``reason`` is ``new``, ``stale`` or ``fresh`` for a source row and ``orphan`` or ``protected`` for
-    a target without a source; ``action`` is ``convert``, ``copy``, ``skip``, ``delete`` or ``keep``.
-    Both sides arrive partitioned by target path (from ``rank_sources`` and ``latest_versions``), so the
-    join adds no shuffle of its own, and each side has few rows per key.
-
-    A target that is newer than its source is stale like an older one, unless ``newer_only`` is set.
-    """
-    present = latest_versions(target).select(
+    present = target.select(
         F.col("rel_path").alias("target_path"),
         F.col("mtime").alias("target_mtime"),
         F.col("size").alias("target_size"),
@@ -76,7 +68,6 @@ def reconcile(
         *[F.col(name) for name in target.columns if name == "data_version"],
         F.lit(True).alias("in_target"),
     )
-    joined = work.withColumn("in_source", F.lit(True)).join(present, "target_path", "full")
     fresh = is_fresh("target_mtime", "mtime", window)
     if newer_only:
         fresh = fresh | (F.col("target_mtime") > F.col("mtime"))
@@ -96,17 +87,37 @@ def reconcile(
         .when(F.col("converter").isNotNull(), "convert")
         .otherwise("copy")
     )
+    joined = work.withColumn("in_source", F.lit(True)).join(present, "target_path", how)
     return joined.withColumn("reason", reason).withColumn("action", action)
 
 
-def source_rows(diff: DataFrame) -> DataFrame:
-    """The rows of a comparison that have a source; the optimizer turns the join into a left join."""
-    return diff.filter("in_source")
+def reconcile(
+    ranked: DataFrame,
+    target: DataFrame,
+    window: int = 0,
+    protect: Iterable[str] = (),
+    strict: bool = True,
+    newer_only: bool = False,
+) -> DataFrame:
+    """Work (see ``rank_sources``) and target manifest side by side: one pass that also finds orphans.
+
+    ``reason`` is ``new``, ``stale`` or ``fresh`` for a source row and ``orphan`` or ``protected`` for
+    a target without a source; ``action`` is ``convert``, ``copy``, ``skip``, ``delete`` or ``keep``.
+    Both sides arrive partitioned by target path and cut down to a few rows per key, so the join adds no
+    shuffle of its own and has no hot key.
+
+    A target that is newer than its source is stale like an older one, unless ``newer_only`` is set.
+    """
+    return _compare(ranked, latest_versions(target), "full", window, protect, strict, newer_only)
 
 
 def classify(work: DataFrame, target: DataFrame, window: int = 0) -> DataFrame:
-    """Every work row with its action and reason."""
-    return source_rows(reconcile(work, target, window)).select(*PLAN_COLUMNS)
+    """Every work row with its action and reason; ``target`` has one row per path.
+
+    Targets shared by very many sources are left to the adaptive skew join, which can split the work
+    side here because both sides are plain shuffles.
+    """
+    return _compare(work, target, "left", window).select(*PLAN_COLUMNS)
 
 
 def known_targets(work: DataFrame) -> DataFrame:

@@ -184,6 +184,15 @@ def next_manifest(diff: DataFrame, stamped: DataFrame) -> DataFrame:
     return untouched.unionByName(unreplaced).drop("action", "reason").unionByName(stamped)
 
 
+def retired_content(diff: DataFrame, stamped: DataFrame) -> DataFrame:
+    """Content of the previous version that the run replaced or deleted."""
+    had = diff.filter("data_version is not null").select(
+        F.col("target_path").alias("rel_path"), "data_version", "action", "reason"
+    )
+    replaced = had.filter("reason = 'stale'").join(stamped.select("rel_path"), "rel_path", "left_semi")
+    return had.filter("action = 'delete'").unionByName(replaced).select("rel_path", "data_version")
+
+
 def next_dirs(plan: SyncPlan, manifest: DataFrame) -> DataFrame:
     """The target's directories after the run: the known ones and all that lead to something.
 
@@ -193,7 +202,9 @@ def next_dirs(plan: SyncPlan, manifest: DataFrame) -> DataFrame:
     return (dirs if plan.prunes else dirs.unionByName(plan.target_dirs)).distinct()
 
 
-def apply(plan: SyncPlan, payload: DataFrame, store: SnapshotStore, txn: str | None = None) -> SyncResult:
+def apply(
+    plan: SyncPlan, payload: DataFrame, store: SnapshotStore, txn: str | None = None, rules_checked: bool = False
+) -> SyncResult:
     """Carry out ``plan``, reading ``payload(rel_path, content)`` only for rows that need work.
 
     The comparison and the transformed items are each written once; the outcome and the new manifest
@@ -201,7 +212,8 @@ def apply(plan: SyncPlan, payload: DataFrame, store: SnapshotStore, txn: str | N
     transaction name makes a repeated call a no-op.
     """
     spark = store.spark
-    check_rules(plan.spec.rules)
+    if not rules_checked:
+        check_rules(plan.spec.rules)
     head = store.log.head()
     if txn is not None and store.has_txn(txn):
         return SyncResult(spark.createDataFrame([], _OUTCOME_SCHEMA), head["version"], False)
@@ -230,7 +242,11 @@ def apply(plan: SyncPlan, payload: DataFrame, store: SnapshotStore, txn: str | N
     stamped = stamp(items, version) if items is not None else store.manifest().limit(0)
     manifest = _staged(spark, next_manifest(diff, stamped), store.path("manifest", version, run))
     next_dirs(plan, manifest).write.mode("overwrite").parquet(store.path("dirs", version, run))
-    store.log.append(version, run=run, tables=tables, txn=txn)
+    retired_bytes = sum(row.key_bytes for row in statistics if row.reason in ("stale", "orphan"))
+    if retired_bytes and "data_version" in diff.columns:
+        retired_content(diff, stamped).write.mode("overwrite").parquet(store.path("retired", version, run))
+        tables.append("retired")
+    store.log.append(version, run=run, tables=tables, txn=txn, retired_bytes=retired_bytes)
     return SyncResult(outcome.unionByName(_skipped(diff)), version, True)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.manifests import MANIFEST_SCHEMA
+from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES
 
 _MANIFEST = MANIFEST_SCHEMA + ", data_version bigint"
 
@@ -85,6 +86,10 @@ class SnapshotStore:
 
     A version's manifest says for every path which version wrote its content, so a run adds only the
     content that changed, however large the target is.
+
+    Tables: ``manifest`` and ``dirs`` (the state), ``items`` (content and outcome of worked items),
+    ``outcome`` (the same without content, with what had vanished), ``retired`` (replaced or deleted
+    content) and ``diff`` (the comparison a run acted on).
     """
 
     def __init__(self, spark: SparkSession, base: str) -> None:
@@ -111,14 +116,30 @@ class SnapshotStore:
         return self._head_table("dirs", "path string")
 
     def content(self) -> DataFrame:
-        """The current target with its content: ``rel_path, mtime, size, mode, content``."""
-        items = self._read("items", self.log.entries())
+        """The current target with its content: ``rel_path, mtime, size, mode, content``.
+
+        Runs list the content they replaced or deleted. As long as that list is small it is broadcast,
+        so reading the target neither shuffles content nor needs the manifest.
+        """
+        entries = self.log.entries()
+        items = self._read("items", entries)
         if items is None:
             return self.manifest().drop("data_version").withColumn("content", F.lit(None).cast("binary"))
         written = items.filter("status = 'ok'").select(
-            F.col("target_path").alias("rel_path"), F.col("version").cast("bigint").alias("data_version"), "content"
+            F.col("target_path").alias("rel_path"),
+            F.col("version").cast("bigint").alias("data_version"),
+            "mtime",
+            "size",
+            "mode",
+            "content",
         )
-        return self.manifest().join(written, ["rel_path", "data_version"]).drop("data_version")
+        retired = self._read("retired", entries)
+        if retired is not None:
+            retired = retired.select("rel_path", "data_version")
+            if sum(entry.get("retired_bytes", 0) for entry in entries) <= MAX_BROADCAST_KEY_BYTES:
+                retired = F.broadcast(retired)
+            written = written.join(retired, ["rel_path", "data_version"], "left_anti")
+        return written.drop("data_version")
 
     def outcomes(self) -> DataFrame | None:
         """One row per worked item of every published run, with its ``version``."""

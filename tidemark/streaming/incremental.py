@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.rules import check_rules
 from tidemark.plans.execution import SyncResult, apply
 from tidemark.plans.planning import plan
 from tidemark.plans.spec import SyncSpec
@@ -12,7 +13,9 @@ from tidemark.sources.manifests import latest_versions
 from tidemark.sources.snapshots import SnapshotStore
 
 
-def sync_batch(spec: SyncSpec, changes: DataFrame, payload: DataFrame, store: SnapshotStore, txn: str) -> SyncResult:
+def sync_batch(
+    spec: SyncSpec, changes: DataFrame, payload: DataFrame, store: SnapshotStore, txn: str, rules_checked: bool = False
+) -> SyncResult:
     """Bring the newest version of every changed path into the store.
 
     Paths that are not in the batch keep their state: a feed of changes says nothing about them, so
@@ -24,6 +27,7 @@ def sync_batch(spec: SyncSpec, changes: DataFrame, payload: DataFrame, store: Sn
         payload,
         store,
         txn,
+        rules_checked,
     )
 
 
@@ -35,11 +39,13 @@ def sync_stream(
     Batches are at-least-once; each publishes under a name made of the stream and the batch number.
     """
 
+    check_rules(spec.rules)
+
     def on_batch(changes: DataFrame, batch_id: int) -> None:
         # the batch runs in a session of its own; keep every frame of it in there
         session = changes.sparkSession
         local = SnapshotStore(session, store.base)
-        sync_batch(spec, changes, payload, local, f"{name}-{batch_id}")
+        sync_batch(spec, changes, payload, local, f"{name}-{batch_id}", rules_checked=True)
 
     return (
         feed.writeStream.foreachBatch(on_batch)

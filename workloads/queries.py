@@ -221,7 +221,7 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("orphans_and_protected")
 def orphans_and_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diff = reconcile(frames.doc_work(spark, sf_dir), frames.doc_target(spark, sf_dir), 0, frames.PROTECTED)
+    diff = reconcile(rank_sources(frames.doc_work(spark, sf_dir)), frames.doc_target(spark, sf_dir), 0, frames.PROTECTED)
     return diff.filter("in_source is null").select(F.col("target_path").alias("path"), "action", "reason")
 
 
@@ -258,7 +258,7 @@ def unknown_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("removable_dirs")
 def dirs_to_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, work = frames.doc_target(spark, sf_dir), frames.doc_work(spark, sf_dir)
-    survivors = reconcile(work, target, 0, frames.PROTECTED).filter("action <> 'delete'")
+    survivors = reconcile(rank_sources(work), target, 0, frames.PROTECTED).filter("action <> 'delete'")
     known = ancestor_dirs(frames.doc_source(spark, sf_dir))
     return deepest_first(removable_dirs(ancestor_dirs(target), known, survivors, "target_path"))
 
