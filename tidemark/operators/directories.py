@@ -8,14 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import parent_dir, path_order
 
 
-def ancestor_dirs(manifest: DataFrame, path: str = "rel_path") -> DataFrame:
-    """Distinct directories above the paths of a manifest, as ``path``.
-
-    Paths are reduced to their distinct parents first, so only directories, not files, are multiplied
-    by their depth.
-    """
-    parents = manifest.select(parent_dir(path).alias("path")).filter("path is not null").distinct()
-    return with_ancestors(parents)
+def _parents(manifest: DataFrame, path: str) -> DataFrame:
+    return manifest.select(parent_dir(path).alias("path")).filter("path is not null").distinct()
 
 
 def with_ancestors(dirs: DataFrame) -> DataFrame:
@@ -27,10 +21,19 @@ def with_ancestors(dirs: DataFrame) -> DataFrame:
     return dirs.select(F.explode(prefixes).alias("path")).distinct()
 
 
+def ancestor_dirs(manifest: DataFrame, path: str = "rel_path") -> DataFrame:
+    """Distinct directories above the paths of a manifest, as ``path``.
+
+    Paths are reduced to their distinct parents first, so only directories, not files, are multiplied
+    by their depth.
+    """
+    return with_ancestors(_parents(manifest, path))
+
+
 def all_dirs(manifest: DataFrame, listed: DataFrame | None = None, path: str = "rel_path") -> DataFrame:
-    """Directories above the files plus the listed ones (which may be empty)."""
-    implied = ancestor_dirs(manifest, path)
-    return implied if listed is None else implied.unionByName(listed.select("path")).distinct()
+    """Directories above the files, and the listed ones (which may be empty) with those above them."""
+    parents = _parents(manifest, path)
+    return with_ancestors(parents if listed is None else parents.unionByName(listed.select("path")))
 
 
 def missing_dirs(source_dirs: DataFrame, target_dirs: DataFrame) -> DataFrame:
