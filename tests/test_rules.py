@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,8 +102,9 @@ def test_every_violation_is_found(spark):
     messages = {row.subject: row.message for row in rule_errors(found).collect()}
     assert messages["open"] == "unmatched_open at byte 0 of {input"
     assert messages["name"] == "unknown_variable at byte 0 of {nom}"
-    with pytest.raises(RuleError, match="undefined converter nowhere"):
-        check_rules(found)
+    for bounded in (True, None):
+        with pytest.raises(RuleError, match="undefined converter nowhere"):
+            check_rules(replace(found, bounded=bounded))
 
 
 def test_expression_converters_need_no_command(spark):

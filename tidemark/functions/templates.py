@@ -6,7 +6,7 @@ then only maps tokens to text.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +32,15 @@ def _name(token: Column) -> Column:
     return F.substr(token, F.lit(2), F.char_length(token) - F.lit(2))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _unless_null_inside(parts: Column, use: Callable[[Column], Column]) -> Column:
+    return _let(parts, lambda p: F.when(~F.exists(p, lambda part: part.isNull()), use(p)))
+
+
 def render_tokens(tokens: ColumnOrName, variables: Column) -> Column:
     """Text of one tokenised template, or NULL if it has a stray brace or an unknown name."""
 
@@ -44,8 +53,7 @@ def render_tokens(tokens: ColumnOrName, variables: Column) -> Column:
             .otherwise(token)
         )
 
-    rendered = F.transform(as_column(tokens), text)
-    return F.when(~F.exists(rendered, lambda part: part.isNull()), F.array_join(rendered, ""))
+    return _unless_null_inside(F.transform(as_column(tokens), text), lambda parts: F.array_join(parts, ""))
 
 
 def render_template(template: ColumnOrName, variables: Column) -> Column:
@@ -54,7 +62,7 @@ def render_template(template: ColumnOrName, variables: Column) -> Column:
     NULL if any of the strings is malformed; ``template_error`` says what is wrong with it.
     """
     rendered = F.transform(as_column(template), lambda part: render_tokens(template_tokens(part), variables))
-    return F.when(~F.exists(rendered, lambda part: part.isNull()), rendered)
+    return _unless_null_inside(rendered, lambda parts: parts)
 
 
 def template_error(template: ColumnOrName, allowed: Iterable[str] = TEMPLATE_VARIABLES) -> Column:
@@ -73,17 +81,22 @@ def template_error(template: ColumnOrName, allowed: Iterable[str] = TEMPLATE_VAR
             .when(_is_placeholder(token) & unknown, F.lit("unknown_variable"))
         )
 
-    tokens = template_tokens(template)
-    # 1-based index of the first bad token, 0 when all are good
-    first = F.coalesce(
-        F.array_position(F.transform(tokens, lambda token: code(token).isNotNull()), F.lit(True)), F.lit(0)
-    ).cast("int")
-    bad = F.try_element_at(tokens, first)
-    return F.when(
-        first > 0,
-        F.struct(
-            code(bad).alias("code"),
-            F.octet_length(F.array_join(F.slice(tokens, F.lit(1), first - F.lit(1)), "")).cast("int").alias("pos"),
-            F.when(_is_placeholder(bad), _name(bad)).alias("name"),
-        ),
-    )
+    def error(tokens: Column, first: Column) -> Column:
+        bad = F.try_element_at(tokens, first)
+        return F.when(
+            first > 0,
+            F.struct(
+                code(bad).alias("code"),
+                F.octet_length(F.array_join(F.slice(tokens, F.lit(1), first - F.lit(1)), "")).cast("int").alias("pos"),
+                F.when(_is_placeholder(bad), _name(bad)).alias("name"),
+            ),
+        )
+
+    def first_bad(tokens: Column) -> Column:
+        """1-based position, 0 when all tokens are good."""
+        flags = F.transform(tokens, lambda token: code(token).isNotNull())
+        return F.coalesce(F.array_position(flags, F.lit(True)), F.lit(0)).cast("int")
+
+    found = _let(template_tokens(template), lambda tokens: _let(first_bad(tokens), lambda first: error(tokens, first)))
+    # text without braces needs no tokens
+    return F.when(as_column(template).rlike("[{}]"), found)

@@ -14,11 +14,9 @@ def _parents(manifest: DataFrame, path: str) -> DataFrame:
 
 def with_ancestors(dirs: DataFrame) -> DataFrame:
     """Directories together with those above them."""
-    parts = F.split("path", "/")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
-    )
-    return dirs.select(F.explode(prefixes).alias("path")).distinct()
+    depth = F.char_length("path") - F.char_length(F.replace("path", F.lit("/"))) + F.lit(1)
+    prefixes = dirs.select("path", F.explode(F.sequence(F.lit(1), depth)).alias("n"))
+    return prefixes.select(F.expr("substring_index(path, '/', n)").alias("path")).distinct()
 
 
 def ancestor_dirs(manifest: DataFrame, path: str = "rel_path") -> DataFrame:

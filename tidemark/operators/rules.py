@@ -28,10 +28,15 @@ class RuleError(ValueError):
 
 @dataclass(frozen=True)
 class Rules:
-    """``mappings(ext, converter, output_ext)`` and ``converters(name, kind, command)``."""
+    """``mappings(ext, converter, output_ext)`` and ``converters(name, kind, command)``.
+
+    ``bounded`` says whether both are known to be small enough to broadcast; None if that has to be
+    measured.
+    """
 
     mappings: DataFrame
     converters: DataFrame
+    bounded: bool | None = None
 
     @staticmethod
     def of(
@@ -41,10 +46,13 @@ class Rules:
     ) -> Rules:
         """Rule tables from rows. Being local relations, they are folded into the plans that use them."""
 
-        def table(rows: Iterable[tuple], schema: pa.Schema) -> DataFrame:
+        mappings, converters = list(mappings), list(converters)
+
+        def table(rows: list[tuple], schema: pa.Schema) -> DataFrame:
             return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema))
 
-        return Rules(table(mappings, MAPPING_SCHEMA), table(converters, CONVERTER_SCHEMA))
+        bounded = max(len(mappings), len(converters)) <= MAX_BROADCAST_RULES
+        return Rules(table(mappings, MAPPING_SCHEMA), table(converters, CONVERTER_SCHEMA), bounded)
 
     @staticmethod
     def from_config(spark: SparkSession, config: Mapping[str, Any]) -> Rules:
@@ -150,6 +158,9 @@ def rule_errors(rules: Rules) -> DataFrame:
 
 def check_rules(rules: Rules) -> None:
     """Raise if there are violations; the message shows the first few."""
+    if rules.bounded:
+        # tables this small need no shuffle
+        rules = Rules(rules.mappings.coalesce(1), rules.converters.coalesce(1))
     shown = rule_errors(rules).limit(20).collect()
     if shown:
         raise RuleError("; ".join(f"{e.rule} {e.subject}: {e.code}: {e.message}" for e in shown))
@@ -158,27 +169,31 @@ def check_rules(rules: Rules) -> None:
 # --- joins -------------------------------------------------------------------------------------------
 
 
-def join_rules(df: DataFrame, rules: DataFrame, key: str, how: str, spread: str = "rel_path") -> DataFrame:
+def join_rules(
+    df: DataFrame, rules: DataFrame, key: str, how: str, spread: str = "rel_path", bounded: bool | None = None
+) -> DataFrame:
     """Join a large frame to a rule table that has at most one row per ``key``.
 
-    A rule table of proven size is broadcast. A larger one is repeated once per salt and joined on
+    A rule table of proven (given or counted) size is broadcast. A larger one is repeated once per salt and joined on
     (key, salt), so that a key shared by most rows is still spread over many tasks.
     """
-    if rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES:
+    if bounded is None:
+        bounded = rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
+    if bounded:
         return df.join(F.broadcast(rules), key, how)
     salted = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))))
     salt = F.pmod(F.xxhash64(spread), F.lit(RULE_SALTS)).cast("int")
     return df.withColumn("_salt", salt).join(salted, [key, "_salt"], how).drop("_salt")
 
 
-def map_paths(manifest: DataFrame, mappings: DataFrame) -> DataFrame:
+def map_paths(manifest: DataFrame, mappings: DataFrame, bounded: bool | None = None) -> DataFrame:
     """Add ``ext``, ``converter`` (NULL if unmapped) and ``target_path`` to manifest rows."""
     mapped = join_rules(
-        manifest.withColumn("ext", file_ext("rel_path")), normalized_mappings(mappings), "ext", "left"
+        manifest.withColumn("ext", file_ext("rel_path")), normalized_mappings(mappings), "ext", "left", bounded=bounded
     )
     return mapped.withColumn("target_path", target_path("rel_path", "ext", "output_ext")).drop("output_ext")
 
 
-def with_converter(work: DataFrame, converters: DataFrame) -> DataFrame:
+def with_converter(work: DataFrame, converters: DataFrame, bounded: bool | None = None) -> DataFrame:
     """Add the ``kind`` and ``command`` of each row's converter."""
-    return join_rules(work, converters.withColumnRenamed("name", "converter"), "converter", "inner")
+    return join_rules(work, converters.withColumnRenamed("name", "converter"), "converter", "inner", bounded=bounded)

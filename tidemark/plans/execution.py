@@ -23,7 +23,7 @@ from tidemark.sources.snapshots import SnapshotStore
 #: content per task and per Arrow batch of the Python converters
 WORKER_PARTITION_BYTES = 128 << 20
 WORKER_BATCH_BYTES = 32 << 20
-_OUTCOME_SCHEMA = (
+OUTCOME_SCHEMA = (
     "rel_path string, target_path string, action string, converter string, status string, exit_code int, "
     "message string, mtime timestamp"
 )
@@ -47,7 +47,7 @@ class SyncResult:
     published: bool
 
 
-def _staged(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+def staged(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Write once and go on from the written table, so nothing is computed twice."""
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -193,13 +193,16 @@ def retired_content(diff: DataFrame, stamped: DataFrame) -> DataFrame:
     return had.filter("action = 'delete'").unionByName(replaced).select("rel_path", "data_version")
 
 
-def next_dirs(plan: SyncPlan, manifest: DataFrame) -> DataFrame:
+def next_dirs(plan: SyncPlan, manifest: DataFrame, stamped: DataFrame) -> DataFrame:
     """The target's directories after the run: the known ones and all that lead to something.
 
-    What would be removed is just the rest of the target's directories, so those need not be read.
+    What would be removed is just the rest of the target's directories, so those need not be read. A
+    feed of changes only adds directories.
     """
-    dirs = with_ancestors(plan.known_dirs).unionByName(ancestor_dirs(manifest))
-    return (dirs if plan.prunes else dirs.unionByName(plan.target_dirs)).distinct()
+    known = with_ancestors(plan.known_dirs)
+    if plan.prunes:
+        return known.unionByName(ancestor_dirs(manifest)).distinct()
+    return known.unionByName(ancestor_dirs(stamped)).unionByName(plan.target_dirs).distinct()
 
 
 def apply(
@@ -216,10 +219,10 @@ def apply(
         check_rules(plan.spec.rules)
     head = store.log.head()
     if txn is not None and store.has_txn(txn):
-        return SyncResult(spark.createDataFrame([], _OUTCOME_SCHEMA), head["version"], False)
+        return SyncResult(spark.createDataFrame([], OUTCOME_SCHEMA), head["version"], False)
     version, run = store.log.next_version(), txn or uuid.uuid4().hex
 
-    diff = _staged(spark, plan.diff, store.path("diff", version, run))
+    diff = staged(spark, plan.diff, store.path("diff", version, run))
     statistics = _statistics(diff)
     _guard(plan, statistics, diff)
 
@@ -232,16 +235,19 @@ def apply(
     if actions & {"convert", "copy"}:
         transformed, batch_rows = _transformed(plan, diff, payload, statistics)
         with _batch_rows(spark, batch_rows):
-            items = _staged(spark, transformed, store.path("items", version, run))
+            items = staged(spark, transformed, store.path("items", version, run))
         tables.append("items")
-        outcome = _staged(spark, _outcome(diff, items), store.path("outcome", version, run))
+        outcome = staged(spark, _outcome(diff, items), store.path("outcome", version, run))
         tables.append("outcome")
     else:
         outcome = _outcome(diff, None)
 
     stamped = stamp(items, version) if items is not None else store.manifest().limit(0)
-    manifest = _staged(spark, next_manifest(diff, stamped), store.path("manifest", version, run))
-    next_dirs(plan, manifest).write.mode("overwrite").parquet(store.path("dirs", version, run))
+    after = next_manifest(diff, stamped)
+    if plan.rest is not None:
+        after = after.unionByName(plan.rest.select(after.columns))
+    manifest = staged(spark, after, store.path("manifest", version, run))
+    next_dirs(plan, manifest, stamped).write.mode("overwrite").parquet(store.path("dirs", version, run))
     retired_bytes = sum(row.key_bytes for row in statistics if row.reason in ("stale", "orphan"))
     if retired_bytes and "data_version" in diff.columns:
         retired_content(diff, stamped).write.mode("overwrite").parquet(store.path("retired", version, run))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.diff import PLAN_COLUMNS, rank_sources, reconcile, target_conflicts
+from tidemark.operators.diff import PLAN_COLUMNS, known_targets, rank_sources, reconcile, target_conflicts
 from tidemark.operators.directories import all_dirs, missing_dirs, removable_dirs
 from tidemark.operators.filters import exclude_paths, keep_mapped
 from tidemark.operators.reports import action_summary, scanned_count
@@ -18,11 +18,11 @@ from tidemark.plans.spec import SyncSpec
 def work_items(spec: SyncSpec, source: DataFrame) -> DataFrame:
     """Source rows that take part in the run, with extension, converter, its kind and target path."""
     kept = exclude_paths(source, spec.source_exclude, strict=spec.strict_globs)
-    mapped = keep_mapped(map_paths(kept, spec.rules.mappings), spec.copy_unmatched)
+    mapped = keep_mapped(map_paths(kept, spec.rules.mappings, spec.rules.bounded), spec.copy_unmatched)
     kinds = spec.rules.converters.select(
         F.col("name").alias("converter"), F.coalesce("kind", F.lit("command")).alias("kind")
     )
-    return join_rules(mapped, kinds, "converter", "left")
+    return join_rules(mapped, kinds, "converter", "left", bounded=spec.rules.bounded)
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,8 @@ class SyncPlan:
     target_dirs: DataFrame
     #: False for a feed of changes, which cannot show that a path is gone
     prunes: bool = True
+    #: target rows that the comparison leaves out because nothing can happen to them
+    rest: DataFrame | None = None
 
     @property
     def items(self) -> DataFrame:
@@ -88,15 +90,23 @@ def plan(
     source_dirs: DataFrame | None = None,
     target_dirs: DataFrame | None = None,
     prunes: bool = True,
+    few_changes: bool = False,
 ) -> SyncPlan:
     """Compare a source manifest with a target manifest under the rules of ``spec``.
 
     ``source_dirs`` and ``target_dirs`` add directories that hold no file; the others follow from the
     manifests. Without ``prunes`` the source is a feed of changes: unlisted target rows are kept, and a
-    change older than the target is skipped.
+    change older than the target is skipped. ``few_changes`` says that such a feed is known to be small
+    enough to broadcast; the target is then filtered where it is read instead of being shuffled.
     """
-    ranked = rank_sources(work_items(spec, source), keep=1 if spec.on_conflict == "first" else 2)
-    protect = spec.target_exclude if prunes else ("*",)
-    diff = reconcile(ranked, target, spec.modify_window, protect, spec.strict_globs, newer_only=not prunes)
+    items = work_items(spec, source)
+    ranked = rank_sources(items, keep=1 if spec.on_conflict == "first" else 2)
     known = exclude_paths(all_dirs(source, source_dirs), spec.source_exclude, "path", spec.strict_globs)
-    return SyncPlan(spec, source, target, diff, known, all_dirs(target, target_dirs), prunes)
+    compared, rest = target, None
+    if few_changes and not prunes:
+        touched = F.broadcast(known_targets(items).withColumnRenamed("target_path", "rel_path"))
+        compared = target.join(touched, "rel_path", "left_semi")
+        rest = target.join(touched, "rel_path", "left_anti")
+    protect = spec.target_exclude if prunes else ("*",)
+    diff = reconcile(ranked, compared, spec.modify_window, protect, spec.strict_globs, newer_only=not prunes)
+    return SyncPlan(spec, source, target, diff, known, all_dirs(target, target_dirs), prunes, rest)

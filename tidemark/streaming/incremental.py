@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.rules import check_rules
-from tidemark.plans.execution import SyncResult, apply
+from tidemark.plans.execution import OUTCOME_SCHEMA, SyncResult, apply, staged
 from tidemark.plans.planning import plan
 from tidemark.plans.spec import SyncSpec
 from tidemark.sources.manifests import latest_versions
+from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES
 from tidemark.sources.snapshots import SnapshotStore
 
 
@@ -22,13 +24,20 @@ def sync_batch(
     nothing is deleted. A change older than the target is skipped, so the order of batches does not
     matter. The transaction name makes a replayed batch a no-op.
     """
-    return apply(
-        plan(spec, latest_versions(changes), store.manifest(), target_dirs=store.dirs(), prunes=False),
-        payload,
-        store,
-        txn,
-        rules_checked,
+    if store.has_txn(txn):
+        return SyncResult(store.spark.createDataFrame([], OUTCOME_SCHEMA), store.log.head()["version"], False)
+    # written once: the batch is not recomputed, and its size decides how it meets the target
+    listed = staged(store.spark, latest_versions(changes), store.path("changes", store.log.next_version(), txn))
+    key_bytes = listed.agg(F.coalesce(F.sum(F.octet_length("rel_path")), F.lit(0))).first()[0]
+    intended = plan(
+        spec,
+        listed,
+        store.manifest(),
+        target_dirs=store.dirs(),
+        prunes=False,
+        few_changes=key_bytes <= MAX_BROADCAST_KEY_BYTES,
     )
+    return apply(intended, payload, store, txn, rules_checked)
 
 
 def sync_stream(
