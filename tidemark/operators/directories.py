@@ -8,29 +8,29 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import parent_dir, path_order
 
 
-def _parents(manifest: DataFrame, path: str) -> DataFrame:
-    return manifest.select(parent_dir(path).alias("path")).filter("path is not null").distinct()
+def parent_dirs(manifest: DataFrame, path: str = "rel_path") -> DataFrame:
+    """The directory of each path below the root, as ``path``; repeated as often as it has entries."""
+    return manifest.select(parent_dir(path).alias("path")).filter("path is not null")
 
 
 def with_ancestors(dirs: DataFrame) -> DataFrame:
-    """Directories together with those above them."""
+    """Distinct directories together with those above them.
+
+    The input is made distinct first, so only directories, not files, are multiplied by their depth.
+    """
     depth = F.char_length("path") - F.char_length(F.replace("path", F.lit("/"))) + F.lit(1)
-    prefixes = dirs.select("path", F.explode(F.sequence(F.lit(1), depth)).alias("n"))
+    prefixes = dirs.distinct().select("path", F.explode(F.sequence(F.lit(1), depth)).alias("n"))
     return prefixes.select(F.expr("substring_index(path, '/', n)").alias("path")).distinct()
 
 
 def ancestor_dirs(manifest: DataFrame, path: str = "rel_path") -> DataFrame:
-    """Distinct directories above the paths of a manifest, as ``path``.
-
-    Paths are reduced to their distinct parents first, so only directories, not files, are multiplied
-    by their depth.
-    """
-    return with_ancestors(_parents(manifest, path))
+    """Distinct directories above the paths of a manifest, as ``path``."""
+    return with_ancestors(parent_dirs(manifest, path))
 
 
 def all_dirs(manifest: DataFrame, listed: DataFrame | None = None, path: str = "rel_path") -> DataFrame:
     """Directories above the files, and the listed ones (which may be empty) with those above them."""
-    parents = _parents(manifest, path)
+    parents = parent_dirs(manifest, path)
     return with_ancestors(parents if listed is None else parents.unionByName(listed.select("path")))
 
 
@@ -51,7 +51,7 @@ def removable_dirs(target_dirs: DataFrame, known_dirs: DataFrame, survivors: Dat
     against the ancestors of the survivors gives the end state of removing empty directories deepest
     first, without going through the depths one by one.
     """
-    occupied = ancestor_dirs(survivors, path).unionByName(ancestor_dirs(known_dirs, "path"))
+    occupied = with_ancestors(parent_dirs(survivors, path).unionByName(parent_dirs(known_dirs, "path")))
     return orphan_dirs(target_dirs, known_dirs).join(occupied, "path", "left_anti")
 
 

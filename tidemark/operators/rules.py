@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from typing import Any
+from weakref import WeakSet
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ class RuleError(ValueError):
     """The rule tables do not pass their checks."""
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Rules:
     """``mappings(ext, converter, output_ext)`` and ``converters(name, kind, command)``.
 
@@ -156,14 +157,21 @@ def rule_errors(rules: Rules) -> DataFrame:
     )
 
 
+#: rule tables made of rows, which cannot change, need checking only once
+_checked: WeakSet[Rules] = WeakSet()
+
+
 def check_rules(rules: Rules) -> None:
     """Raise if there are violations; the message shows the first few."""
-    if rules.bounded:
-        # tables this small need no shuffle
-        rules = Rules(rules.mappings.coalesce(1), rules.converters.coalesce(1))
-    shown = rule_errors(rules).limit(20).collect()
+    if rules in _checked:
+        return
+    # tables of known size are small and need no shuffle
+    tables = Rules(rules.mappings.coalesce(1), rules.converters.coalesce(1)) if rules.bounded else rules
+    shown = rule_errors(tables).limit(20).collect()
     if shown:
         raise RuleError("; ".join(f"{e.rule} {e.subject}: {e.code}: {e.message}" for e in shown))
+    if rules.bounded is not None:
+        _checked.add(rules)
 
 
 # --- joins -------------------------------------------------------------------------------------------

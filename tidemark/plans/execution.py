@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.convert import OUTCOME_COLUMNS, transform, transform_in_workers
-from tidemark.operators.directories import ancestor_dirs, with_ancestors
+from tidemark.operators.directories import parent_dirs, with_ancestors
 from tidemark.operators.rules import check_rules
 from tidemark.plans.planning import SyncPlan, plan
 from tidemark.plans.spec import SyncSpec
@@ -199,10 +199,9 @@ def next_dirs(plan: SyncPlan, manifest: DataFrame, stamped: DataFrame) -> DataFr
     What would be removed is just the rest of the target's directories, so those need not be read. A
     feed of changes only adds directories.
     """
-    known = with_ancestors(plan.known_dirs)
     if plan.prunes:
-        return known.unionByName(ancestor_dirs(manifest)).distinct()
-    return known.unionByName(ancestor_dirs(stamped)).unionByName(plan.target_dirs).distinct()
+        return with_ancestors(plan.known_dirs.unionByName(parent_dirs(manifest)))
+    return with_ancestors(plan.known_dirs.unionByName(parent_dirs(stamped)).unionByName(plan.target_dirs))
 
 
 def apply(
