@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.helpers import contents, dirs, manifest, paths_of, payload, statuses
 from tidemark import Converters, SyncSpec, apply, plan, run_sync
 from tidemark.operators import RuleError, Rules
-from tidemark.plans import ConflictError, EmptySourceError
+from tidemark.plans import ConflictError, EmptySourceError, PayloadError
 from tidemark.sources import CommitLog
 
 
@@ -148,6 +148,31 @@ def test_vanished_sources_keep_their_old_target(spark, store):
     assert contents(store) == {"a": b"1", "b": b"2"}
 
 
+def test_content_has_to_be_keyed(spark, store):
+    files = payload(spark, {"a": "1"}).unionByName(payload(spark, {"a": "2"}))
+    # one item twice and one item gone would add up, so the items are told apart by key
+    for source in (manifest(spark, {"a": 1}), manifest(spark, {"a": 1, "b": 1})):
+        with pytest.raises(PayloadError):
+            run_sync(spec(spark), source, files, store)
+    assert store.log.head() is None
+
+
+@pytest.mark.parametrize("limit", [-1, 1 << 30])
+def test_long_and_short_work_lists_give_the_same_result(spark, store, monkeypatch, limit):
+    from tidemark.plans import execution
+    from tidemark.sources import payloads
+
+    monkeypatch.setattr(execution, "MAX_BROADCAST_KEY_BYTES", limit)
+    monkeypatch.setattr(payloads, "MAX_BROADCAST_KEY_BYTES", limit)
+    converters = Converters().register("same", lambda c: c).register_udf("up", lambda c: c.map(bytes.upper))
+    chosen = spec(spark, [("u", "up", None)], converters)
+    files = payload(spark, {"a.u": "a", "b": "b", "d.u": "d"})
+    run_sync(chosen, manifest(spark, {"a.u": 1, "b": 1, "c": 1}), files, store)
+    result = run_sync(chosen, manifest(spark, {"a.u": 5, "c": 1, "d.u": 1}), files, store)
+    assert statuses(result) == {"a.u": "ok", "c": "vanished", "d.u": "ok"}
+    assert contents(store) == {"a.u": b"A", "d.u": b"D"}
+
+
 def test_conflicting_targets(spark, store):
     mappings = [("flac", "same", "opus"), ("mp3", "same", "opus")]
     source = manifest(spark, {"s.mp3": 1, "s.flac": 1, "t.mp3": 1})

@@ -1,12 +1,13 @@
 """Specs, plans and their execution."""
 
-from tidemark.plans.execution import ConflictError, EmptySourceError, SyncResult, apply, run_sync
+from tidemark.plans.execution import ConflictError, EmptySourceError, PayloadError, SyncResult, apply, run_sync
 from tidemark.plans.planning import SyncPlan, plan
 from tidemark.plans.spec import SpecError, SyncSpec
 
 __all__ = [
     "ConflictError",
     "EmptySourceError",
+    "PayloadError",
     "SpecError",
     "SyncPlan",
     "SyncResult",

@@ -22,7 +22,10 @@ from tidemark.sources.snapshots import SnapshotStore
 
 #: content per task and per Arrow batch of the Python converters
 WORKER_PARTITION_BYTES = 128 << 20
+WORKER_PARTITION_ITEMS = 100_000
 WORKER_BATCH_BYTES = 32 << 20
+#: assumed when the manifest has no sizes
+UNKNOWN_SIZE = 1 << 20
 OUTCOME_SCHEMA = (
     "rel_path string, target_path string, action string, converter string, status string, exit_code int, "
     "message string, mtime timestamp"
@@ -34,6 +37,10 @@ class ConflictError(RuntimeError):
     """Several sources share one target."""
 
 
+class PayloadError(RuntimeError):
+    """The content table is not keyed by path."""
+
+
 class EmptySourceError(RuntimeError):
     """An empty source would delete the whole target."""
 
@@ -55,7 +62,7 @@ def staged(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 
 def _statistics(diff: DataFrame) -> list[Row]:
     """Counts and sizes per kind of row: a handful of groups."""
-    size = F.coalesce("size", F.lit(0))
+    size = F.coalesce("size", F.lit(UNKNOWN_SIZE))
     return (
         diff.groupBy("action", "reason", "kind", "source_rank")
         .agg(
@@ -111,6 +118,7 @@ def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame, statistics
         tasks = max(
             spark.sparkContext.defaultParallelism,
             math.ceil(sum(row.bytes for row in in_workers) / WORKER_PARTITION_BYTES),
+            math.ceil(sum(row["items"] for row in in_workers) / WORKER_PARTITION_ITEMS),
         )
         chosen = work.filter(python_kind)
         if key_bytes <= MAX_BROADCAST_KEY_BYTES:
@@ -127,11 +135,20 @@ def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame, statistics
     return reduce(DataFrame.unionByName, parts), batch_rows
 
 
-def _outcome(diff: DataFrame, items: DataFrame | None) -> DataFrame:
-    """Worked items, and planned items whose content was gone."""
+def _small(statistics: list[Row]) -> bool:
+    """Is the list of worked items small enough to broadcast?"""
+    worked = (row.key_bytes for row in statistics if row.action in ("convert", "copy"))
+    return sum(worked) <= MAX_BROADCAST_KEY_BYTES
+
+
+def _hinted(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def _vanished(diff: DataFrame, items: DataFrame, small: bool) -> DataFrame:
+    """Planned items whose content was gone, as outcome rows."""
     planned = diff.filter(F.col("action").isin("convert", "copy"))
-    done = planned.limit(0) if items is None else items
-    gone = planned.join(done.select("rel_path"), "rel_path", "left_anti").select(
+    return planned.join(_hinted(items.select("rel_path"), small), "rel_path", "left_anti").select(
         "rel_path",
         "target_path",
         "action",
@@ -141,7 +158,6 @@ def _outcome(diff: DataFrame, items: DataFrame | None) -> DataFrame:
         F.lit("source is gone").alias("message"),
         "mtime",
     )
-    return gone if items is None else items.select(*OUTCOME_COLUMNS).unionByName(gone)
 
 
 def _skipped(diff: DataFrame) -> DataFrame:
@@ -164,7 +180,7 @@ def stamp(items: DataFrame, version: int) -> DataFrame:
     )
 
 
-def next_manifest(diff: DataFrame, stamped: DataFrame) -> DataFrame:
+def next_manifest(diff: DataFrame, stamped: DataFrame, small: bool = False) -> DataFrame:
     """The target's manifest after the run.
 
     Rows that nothing happened to pass straight through; only stale rows have to be checked for a
@@ -180,16 +196,18 @@ def next_manifest(diff: DataFrame, stamped: DataFrame) -> DataFrame:
         (F.col("data_version") if "data_version" in diff.columns else F.lit(None)).cast("bigint").alias("data_version"),
     )
     untouched = previous.filter(F.col("action").isin("skip", "keep"))
-    unreplaced = previous.filter("reason = 'stale'").join(stamped.select("rel_path"), "rel_path", "left_anti")
+    written = _hinted(stamped.select("rel_path"), small)
+    unreplaced = previous.filter("reason = 'stale'").join(written, "rel_path", "left_anti")
     return untouched.unionByName(unreplaced).drop("action", "reason").unionByName(stamped)
 
 
-def retired_content(diff: DataFrame, stamped: DataFrame) -> DataFrame:
+def retired_content(diff: DataFrame, stamped: DataFrame, small: bool = False) -> DataFrame:
     """Content of the previous version that the run replaced or deleted."""
     had = diff.filter("data_version is not null").select(
         F.col("target_path").alias("rel_path"), "data_version", "action", "reason"
     )
-    replaced = had.filter("reason = 'stale'").join(stamped.select("rel_path"), "rel_path", "left_semi")
+    written = _hinted(stamped.select("rel_path"), small)
+    replaced = had.filter("reason = 'stale'").join(written, "rel_path", "left_semi")
     return had.filter("action = 'delete'").unionByName(replaced).select("rel_path", "data_version")
 
 
@@ -230,29 +248,34 @@ def apply(
         return SyncResult(_skipped(diff), head["version"] if head else None, False)
 
     tables = ["manifest", "dirs"]
-    items = None
+    small = _small(statistics)
     if actions & {"convert", "copy"}:
         transformed, batch_rows = _transformed(plan, diff, payload, statistics)
         with _batch_rows(spark, batch_rows):
             items = staged(spark, transformed, store.path("items", version, run))
-        tables.append("items")
-        outcome = staged(spark, _outcome(diff, items), store.path("outcome", version, run))
-        tables.append("outcome")
+        gone = staged(spark, _vanished(diff, items, small), store.path("vanished", version, run))
+        planned = sum(row["items"] for row in statistics if row.action in ("convert", "copy"))
+        if items.count() + gone.count() != planned:
+            raise PayloadError("a path has more than one content")
+        tables += ["items", "vanished"]
+        outcome = items.select(*OUTCOME_COLUMNS).unionByName(gone).unionByName(_skipped(diff))
+        stamped = stamp(items, version)
     else:
-        outcome = _outcome(diff, None)
+        outcome = _skipped(diff)
+        stamped = store.manifest().limit(0)
 
-    stamped = stamp(items, version) if items is not None else store.manifest().limit(0)
-    after = next_manifest(diff, stamped)
+    after = next_manifest(diff, stamped, small)
     if plan.rest is not None:
         after = after.unionByName(plan.rest.select(after.columns))
     manifest = staged(spark, after, store.path("manifest", version, run))
     next_dirs(plan, manifest, stamped).write.mode("overwrite").parquet(store.path("dirs", version, run))
     retired_bytes = sum(row.key_bytes for row in statistics if row.reason in ("stale", "orphan"))
     if retired_bytes and "data_version" in diff.columns:
-        retired_content(diff, stamped).write.mode("overwrite").parquet(store.path("retired", version, run))
+        retired = retired_content(diff, stamped, small)
+        retired.write.mode("overwrite").parquet(store.path("retired", version, run))
         tables.append("retired")
     store.log.append(version, run=run, tables=tables, txn=txn, retired_bytes=retired_bytes)
-    return SyncResult(outcome.unionByName(_skipped(diff)), version, True)
+    return SyncResult(outcome, version, True)
 
 
 def run_sync(

@@ -88,8 +88,8 @@ class SnapshotStore:
     content that changed, however large the target is.
 
     Tables: ``manifest`` and ``dirs`` (the state), ``items`` (content and outcome of worked items),
-    ``outcome`` (the same without content, with what had vanished), ``retired`` (replaced or deleted
-    content) and ``diff`` (the comparison a run acted on).
+    ``vanished`` (items whose source was gone), ``retired`` (replaced or deleted content), ``diff`` (the
+    comparison a run acted on) and, for feeds, ``changes``.
     """
 
     def __init__(self, spark: SparkSession, base: str) -> None:
@@ -142,9 +142,12 @@ class SnapshotStore:
         return written.drop("data_version")
 
     def outcomes(self) -> DataFrame | None:
-        """One row per worked item of every published run, with its ``version``."""
-        logged = self._read("outcome", self.log.entries())
-        return None if logged is None else logged.drop("run")
+        """One row per worked or vanished item of every published run, with its ``version``."""
+        entries = self.log.entries()
+        items, vanished = self._read("items", entries), self._read("vanished", entries)
+        if items is None or vanished is None:
+            return None
+        return items.select(vanished.columns).unionByName(vanished).drop("run")
 
     def has_txn(self, txn: str) -> bool:
         """Has this transaction (``<stream>-<batch>``) been published?
