@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import SnapshotStore, run_sync
 from workloads import frames
-from workloads.queries import QUERIES, _doc_spec
+from workloads.queries import QUERIES, doc_spec
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -75,7 +75,7 @@ def main() -> None:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
     store = SnapshotStore(spark, f"{base}/bench-{os.getpid()}-{time.time_ns()}")
-    spec = _doc_spec(spark)
+    spec = doc_spec(spark)
     source = frames.doc_source(spark, SF_DIR)
     results["first_run"] = timed(lambda: run_sync(spec, source, frames.doc_payload(spark, SF_DIR), store))
     # fails if it reads any content

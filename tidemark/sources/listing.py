@@ -20,6 +20,7 @@ register_pickle_by_value(sys.modules[__name__])
 
 _LISTING_SCHEMA = "rel_path string, is_dir boolean, mtime_us bigint, size bigint, mode int"
 _LISTING_BATCH = 10_000
+DIRECTORIES_PER_TASK = 500
 
 
 def _list_directories(root: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,9 +77,12 @@ def scan_tree(spark: SparkSession, root: str, scratch: str | None = None) -> tup
         level = spark.read.schema(_LISTING_SCHEMA).parquet(level_path)
         levels.append(level)
         pending = level.filter("is_dir").select("rel_path")
-        if pending.isEmpty():
+        count = pending.count()
+        if count == 0:
             break
-        pending = pending.repartition("rel_path")
+        # a fixed number of tasks: the rows are tiny, the listings are not
+        tasks = max(spark.sparkContext.defaultParallelism, count // DIRECTORIES_PER_TASK)
+        pending = pending.repartition(tasks, "rel_path")
     found = reduce(DataFrame.unionByName, levels)
     files = found.filter(~F.col("is_dir"))
     manifest = manifest_from(files, "rel_path", F.timestamp_micros("mtime_us"), "size", "mode")

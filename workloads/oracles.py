@@ -325,6 +325,7 @@ select rel_path, target_path, action, converter,
   case when action <> 'skip' and converter = 'jpg' then 0 when action <> 'skip' and converter = 'gz' then 3 end::int as exit_code,
   case when action <> 'skip' and converter = 'gz' then 'no ' || {stem("rel_path")} end as message
 from acted""",
+    "copied_items": f"with {plan_rows(0)} select target_path, us as mtime_us, md5(text) as digest from acted where action = 'copy'",
     "strip_html": f"""with {PAGES},
 newest as (select * from pg where page_id in (select max(page_id) from pg group by rel_path)),
 made as (

@@ -28,6 +28,7 @@ from tidemark.operators import (
     ancestor_dirs,
     classify,
     conflict_winners,
+    copy_through,
     deepest_first,
     exclude_paths,
     failure_summary,
@@ -171,7 +172,7 @@ def sync_plan_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan_rows(spark, sf_dir, -1)
 
 
-def _doc_spec(spark: SparkSession, converters: Converters | None = None, **options) -> SyncSpec:
+def doc_spec(spark: SparkSession, converters: Converters | None = None, **options) -> SyncSpec:
     converters = converters or frames.text_converters()
     return SyncSpec(
         rules=converters.rules(spark, frames.DOC_MAPPINGS),
@@ -182,7 +183,7 @@ def _doc_spec(spark: SparkSession, converters: Converters | None = None, **optio
 
 
 def _doc_plan(spark: SparkSession, sf_dir: str, **options):
-    return plan(_doc_spec(spark, **options), frames.doc_source(spark, sf_dir), frames.doc_target(spark, sf_dir))
+    return plan(doc_spec(spark, **options), frames.doc_source(spark, sf_dir), frames.doc_target(spark, sf_dir))
 
 
 @query("sync_plan_summary")
@@ -338,7 +339,7 @@ def _sync_into_store(spark: SparkSession, sf_dir: str, converters: Converters, p
     if payload is None:
         payload = frames.doc_payload(spark, sf_dir)
     result = run_sync(
-        _doc_spec(spark, converters, **options),
+        doc_spec(spark, converters, **options),
         frames.doc_source(spark, sf_dir),
         payload,
         store,
@@ -401,6 +402,14 @@ def payload_for_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.select("rel_path", "action", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
+@query("copied_items")
+def copied_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New and stale documents without a converter, content as it is."""
+    rows = classify(frames.doc_work(spark, sf_dir), frames.doc_target(spark, sf_dir)).filter("action = 'copy'")
+    copied = copy_through(load_payload(frames.doc_payload(spark, sf_dir), rows))
+    return copied.select("target_path", F.unix_micros("mtime").alias("mtime_us"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 @query("strip_html")
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as a source: tags out of every page, written as text."""
@@ -434,7 +443,7 @@ def post_sync_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run right after a run would do: nothing but skip and keep."""
     store, _ = _sync_into_store(spark, sf_dir, frames.text_converters())
-    again = plan(_doc_spec(spark), frames.doc_source(spark, sf_dir), store.manifest(), target_dirs=store.dirs())
+    again = plan(doc_spec(spark), frames.doc_source(spark, sf_dir), store.manifest(), target_dirs=store.dirs())
     return again.diff.groupBy("action", "reason").agg(F.count("*").alias("items"))
 
 
@@ -526,7 +535,7 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = manifest_from(events, key, "ts", size="event_id")
     middle = F.lit("2024-01-25").cast("timestamp")
     payload = feed.select("rel_path").distinct().withColumn("content", F.col("rel_path"))
-    spec = _doc_spec(spark, modify_window=-1)
+    spec = doc_spec(spark, modify_window=-1)
     store = SnapshotStore(spark, f"{base}/store")
     for part in (feed.filter(F.col("mtime") < middle), feed.filter(F.col("mtime") >= middle)):
         part.write.mode("append").parquet(f"{base}/feed")
