@@ -91,7 +91,13 @@ def test_small_work_lists_are_broadcast_and_long_ones_joined(spark):
     assert hinted._jdf.queryExecution().analyzed().toString().count("broadcast") == 1
     plain = load_payload(files, work, key_bytes=1 << 40)
     assert "broadcast" not in plain._jdf.queryExecution().analyzed().toString()
-    assert hinted.collect() == plain.collect() == [("b", "2")]
+    sized = load_payload(files, work, key_bytes=1 << 40, tasks=7)
+    assert hinted.collect() == plain.collect() == sized.collect() == [("b", "2")]
+    text = sized._jdf.queryExecution().executedPlan().toString()
+    initial = text[text.index("Initial Plan") :] if "Initial Plan" in text else text
+    # one shuffle per side, the content side as wide as the work side, and no sort
+    assert initial.count("Exchange hashpartitioning(rel_path") == initial.count(", 7), ") == 2
+    assert "ShuffledHashJoin" in initial and "Sort " not in initial
 
 
 def test_bucketed_content_is_not_shuffled(spark):

@@ -187,7 +187,9 @@ def _convert_batches(
         )
 
 
-def convert_in_workers(items: DataFrame, converters: DataFrame, registry: Converters, timeout: float = 3600.0) -> DataFrame:
+def convert_in_workers(
+    items: DataFrame, converters: DataFrame, registry: Converters, timeout: float = 3600.0, bounded: bool | None = None
+) -> DataFrame:
     """Run the UDF and command converters of ``items`` in Python workers, in one pass.
 
     A command sees staged files named after the source and the target's extension; its words are
@@ -206,7 +208,7 @@ def convert_in_workers(items: DataFrame, converters: DataFrame, registry: Conver
         raw_ext("rel_path"),
     )
     prepared = (
-        with_converter(items.drop("kind"), converters)
+        with_converter(items.drop("kind"), converters, bounded)
         .withColumn("staged_in", staged_in)
         .withColumn("staged_out", staged_out)
         .withColumn("argv", F.when(F.col("command").isNotNull(), render_template("command", variables)))
@@ -223,9 +225,14 @@ def transform(items: DataFrame, registry: Converters, allow_empty: bool = False)
 
 
 def transform_in_workers(
-    items: DataFrame, converters: DataFrame, registry: Converters, allow_empty: bool = False, timeout: float = 3600.0
+    items: DataFrame,
+    converters: DataFrame,
+    registry: Converters,
+    allow_empty: bool = False,
+    timeout: float = 3600.0,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """Items of UDF and command converters, with content in the type it came in."""
     content_type = dict(items.dtypes)["content"]
-    done = convert_in_workers(items, converters, registry, timeout)
+    done = convert_in_workers(items, converters, registry, timeout, bounded)
     return _checked(done.withColumn("content", F.col("content").cast(content_type)), allow_empty)

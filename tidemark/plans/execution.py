@@ -20,9 +20,9 @@ from tidemark.plans.spec import SyncSpec
 from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES, load_payload
 from tidemark.sources.snapshots import SnapshotStore
 
-#: content per task and per Arrow batch of the Python converters
-WORKER_PARTITION_BYTES = 128 << 20
-WORKER_PARTITION_ITEMS = 100_000
+#: content and items per task, and content per Arrow batch of the Python converters
+PARTITION_BYTES = 128 << 20
+PARTITION_ITEMS = 100_000
 WORKER_BATCH_BYTES = 32 << 20
 #: assumed when the manifest has no sizes
 UNKNOWN_SIZE = 1 << 20
@@ -96,6 +96,15 @@ def _guard(plan: SyncPlan, statistics: list[Row], diff: DataFrame) -> None:
         raise EmptySourceError("the source is empty and the target is not")
 
 
+def _tasks(spark: SparkSession, rows: list[Row]) -> int:
+    """Partitions for items of known total size: the cost follows the bytes, the memory the rows."""
+    return max(
+        spark.sparkContext.defaultParallelism,
+        math.ceil(sum(row.bytes for row in rows) / PARTITION_BYTES),
+        math.ceil(sum(row["items"] for row in rows) / PARTITION_ITEMS),
+    )
+
+
 def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame, statistics: list[Row]) -> tuple[DataFrame, int]:
     """The worked items with their content, and the row bound for their Arrow batches."""
     spec, spark = plan.spec, diff.sparkSession
@@ -109,25 +118,23 @@ def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame, statistics
     batch_rows = int(spark.conf.get(_BATCH_ROWS))
     python_kind = F.coalesce(F.col("kind").isin("udf", "command"), F.lit(False))
     if on_jvm:
-        key_bytes = sum(row.key_bytes for row in on_jvm)
-        loaded = load_payload(payload, work.filter(~python_kind), key_bytes)
+        key_bytes, tasks = sum(row.key_bytes for row in on_jvm), _tasks(spark, on_jvm)
+        loaded = load_payload(payload, work.filter(~python_kind), key_bytes, tasks)
         parts.append(transform(loaded, spec.converters, spec.allow_empty_output))
     if in_workers:
-        key_bytes = sum(row.key_bytes for row in in_workers)
-        # the cost follows the bytes, so they set the number of tasks
-        tasks = max(
-            spark.sparkContext.defaultParallelism,
-            math.ceil(sum(row.bytes for row in in_workers) / WORKER_PARTITION_BYTES),
-            math.ceil(sum(row["items"] for row in in_workers) / WORKER_PARTITION_ITEMS),
-        )
-        chosen = work.filter(python_kind)
+        key_bytes, tasks = sum(row.key_bytes for row in in_workers), _tasks(spark, in_workers)
+        loaded = load_payload(payload, work.filter(python_kind), key_bytes, tasks)
         if key_bytes <= MAX_BROADCAST_KEY_BYTES:
-            loaded = load_payload(payload, chosen, key_bytes).repartition(tasks, "rel_path")
-        else:
-            loaded = load_payload(payload, chosen.repartition(tasks, "rel_path"))
+            # the content sits where it was read; spread the work
+            loaded = loaded.repartition(tasks, "rel_path")
         parts.append(
             transform_in_workers(
-                loaded, spec.rules.converters, spec.converters, spec.allow_empty_output, spec.command_timeout
+                loaded,
+                spec.rules.converters,
+                spec.converters,
+                spec.allow_empty_output,
+                spec.command_timeout,
+                spec.rules.bounded,
             )
         )
         largest = max(row.largest for row in in_workers)

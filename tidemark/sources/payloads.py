@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_KEY_BYTES = 16 << 20
 
 
-def load_payload(payload: DataFrame, work: DataFrame, key_bytes: int | None = None) -> DataFrame:
+def load_payload(payload: DataFrame, work: DataFrame, key_bytes: int | None = None, tasks: int | None = None) -> DataFrame:
     """Work rows with their ``content``; work without content (a source that is gone) gets no row.
 
     ``key_bytes`` is the measured size of the work list. A small list is broadcast, so the content is
-    filtered where it is read and never shuffled; otherwise both sides are joined by key. Content
-    stored bucketed by ``rel_path`` stays in place there too.
+    filtered where it is read and never shuffled. A longer one is joined by key. If ``tasks`` is given, it
+    sets the number of partitions, and the work rows of a partition have to fit into memory: content is
+    then looked up in them without being sorted. Content stored bucketed by ``rel_path`` stays in place
+    when ``tasks`` is left out.
     """
     if key_bytes is not None and key_bytes <= MAX_BROADCAST_KEY_BYTES:
         work = F.broadcast(work)
+    elif tasks is not None:
+        work = work.repartition(tasks, "rel_path").hint("shuffle_hash")
     return work.join(payload.select("rel_path", "content"), "rel_path")
