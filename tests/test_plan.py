@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,36 @@ def test_a_target_with_most_of_the_sources_is_cut_down_before_the_shuffle(spark,
     assert target_conflicts(claims).first().n_sources == 6667
 
 
+def test_classifying_a_hot_target_can_be_split(spark):
+    """Most rows claim one target; the adaptive skew join spreads them over several tasks."""
+    rows = spark.range(30_000).select(
+        F.concat(F.lit("s/"), F.col("id").cast("string")).alias("rel_path"),
+        F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("target_path"),
+        F.timestamp_seconds(F.col("id")).alias("mtime"),
+        F.lit("").alias("ext"),
+        F.lit(None).cast("string").alias("converter"),
+    )
+    target = manifest(spark, {"hot": 1, "t3": 3})
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = classify(rows.repartition(8), target)
+        counts = Counter(row.reason for row in found.collect())
+        text = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert counts == {"stale": 19_999, "new": 9_999, "fresh": 2}
+    assert "skew=true" in text
+
+
 def test_target_rows_of_one_path_count_once(spark):
     target = manifest(spark, {"a": 1}).unionByName(manifest(spark, {"a": 5}))
     found = plan(spec(spark), manifest(spark, {"a": 5}), target)

@@ -228,6 +228,20 @@ def test_nothing_is_visible_before_the_commit(spark, store, monkeypatch):
     assert contents(store) == {"a": b"x"}
 
 
+def test_a_run_planned_against_an_older_version_cannot_publish(spark, store):
+    from tidemark import SnapshotStore
+
+    source, files = manifest(spark, {"a": 1}), payload(spark, {"a": "x", "b": "y"})
+    late = plan(spec(spark), source, store.manifest(), target_dirs=store.dirs())
+    run_sync(spec(spark), manifest(spark, {"b": 1}), files, SnapshotStore(spark, store.base))
+    with pytest.raises(Exception, match="exist"):
+        apply(late, files, store)
+    assert contents(store) == {"b": b"y"}
+    # planned anew, it goes through
+    run_sync(spec(spark), source, files, store)
+    assert contents(store) == {"a": b"x"}
+
+
 def test_a_named_transaction_happens_once(spark, store):
     source, files = manifest(spark, {"a": 1}), payload(spark, {"a": "x"})
     intended = plan(spec(spark), source, store.manifest())

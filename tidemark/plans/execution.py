@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,7 +19,7 @@ from tidemark.operators.rules import check_rules
 from tidemark.plans.planning import SyncPlan, plan
 from tidemark.plans.spec import SyncSpec
 from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES, load_payload
-from tidemark.sources.snapshots import SnapshotStore
+from tidemark.sources.snapshots import STORED_MANIFEST_SCHEMA, SnapshotStore
 
 #: content and items per task, and content per Arrow batch of the Python converters
 PARTITION_BYTES = 128 << 20
@@ -236,15 +237,18 @@ def apply(
 
     The comparison and the transformed items are each written once; the outcome and the new manifest
     read them back. A run that finds nothing to do reads no content and publishes nothing. A
-    transaction name makes a repeated call a no-op.
+    transaction name (``<stream>-<batch>``) makes a repeated call a no-op. If another run has published
+    since ``store`` gave out the manifest, the commit fails and nothing is published.
     """
     spark = store.spark
+    if txn is not None and not re.fullmatch(r"[A-Za-z0-9_.]+-[0-9]+", txn):
+        raise ValueError(f"a transaction is named <stream>-<batch>, not {txn!r}")
     if not rules_checked:
         check_rules(plan.spec.rules)
     head = store.log.head()
     if txn is not None and store.has_txn(txn):
         return SyncResult(spark.createDataFrame([], OUTCOME_SCHEMA), head["version"], False)
-    version, run = store.log.next_version(), txn or uuid.uuid4().hex
+    version, run = store.next_version(), txn or uuid.uuid4().hex
 
     diff = staged(spark, plan.diff, store.path("diff", version, run))
     statistics = _statistics(diff)
@@ -269,7 +273,7 @@ def apply(
         stamped = stamp(items, version)
     else:
         outcome = _skipped(diff)
-        stamped = store.manifest().limit(0)
+        stamped = spark.createDataFrame([], STORED_MANIFEST_SCHEMA)
 
     after = next_manifest(diff, stamped, small)
     if plan.rest is not None:
@@ -281,7 +285,7 @@ def apply(
         retired = retired_content(diff, stamped, small)
         retired.write.mode("overwrite").parquet(store.path("retired", version, run))
         tables.append("retired")
-    store.log.append(version, run=run, tables=tables, txn=txn, retired_bytes=retired_bytes)
+    store.commit(version, run=run, tables=tables, txn=txn, retired_bytes=retired_bytes)
     return SyncResult(outcome, version, True)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.manifests import MANIFEST_SCHEMA
 from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES
 
-_MANIFEST = MANIFEST_SCHEMA + ", data_version bigint"
+STORED_MANIFEST_SCHEMA = MANIFEST_SCHEMA + ", data_version bigint"
 
 
 class CommitLog:
@@ -96,6 +96,19 @@ class SnapshotStore:
         self.spark = spark
         self.base = base.rstrip("/")
         self.log = CommitLog(spark, base)
+        self._next: int | None = None
+
+    def next_version(self) -> int:
+        """The version to publish: the one after the manifest last read here.
+
+        If another writer publishes in between, it takes this version, and committing the run that was
+        planned against the older manifest fails.
+        """
+        return self._next or self.log.next_version()
+
+    def commit(self, version: int, **entry: Any) -> None:
+        self.log.append(version, **entry)
+        self._next = None
 
     def path(self, table: str, version: int, run: str) -> str:
         return f"{self.base}/{table}/version={version}/run={run}"
@@ -110,7 +123,8 @@ class SnapshotStore:
         return self.spark.createDataFrame([], schema) if stored is None else stored.drop("version", "run")
 
     def manifest(self) -> DataFrame:
-        return self._head_table("manifest", _MANIFEST)
+        self._next = self.log.next_version()
+        return self._head_table("manifest", STORED_MANIFEST_SCHEMA)
 
     def dirs(self) -> DataFrame:
         return self._head_table("dirs", "path string")

@@ -27,12 +27,13 @@ def sync_batch(
     if store.has_txn(txn):
         return SyncResult(store.spark.createDataFrame([], OUTCOME_SCHEMA), store.log.head()["version"], False)
     # written once: the batch is not recomputed, and its size decides how it meets the target
-    listed = staged(store.spark, latest_versions(changes), store.path("changes", store.log.next_version(), txn))
+    target = store.manifest()
+    listed = staged(store.spark, latest_versions(changes), store.path("changes", store.next_version(), txn))
     key_bytes = listed.agg(F.coalesce(F.sum(F.octet_length("rel_path")), F.lit(0))).first()[0]
     intended = plan(
         spec,
         listed,
-        store.manifest(),
+        target,
         target_dirs=store.dirs(),
         prunes=False,
         few_changes=key_bytes <= MAX_BROADCAST_KEY_BYTES,
