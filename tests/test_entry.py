@@ -38,3 +38,19 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_known_results(spark):
+    """Counts agreed on beforehand for the tables of scale 0.01."""
+    at = "/root/testdata/sf0.01"
+    summary = {(row.action, row.reason): (row["items"], row.bytes) for row in queries()["sync_plan_summary"](spark, at).collect()}
+    assert summary == {
+        ("convert", "new"): (110, 267325),
+        ("convert", "stale"): (90, 222798),
+        ("copy", "new"): (76, 195445),
+        ("copy", "stale"): (41, 105114),
+        ("skip", "fresh"): (683, 1619188),
+    }
+    assert sorted(row.path for row in queries()["removable_dirs"](spark, at).collect()) == ["orphans/1", "orphans/3"]
+    conflicts = queries()["target_conflicts"](spark, at).groupBy().agg({"n_sources": "sum", "*": "count"}).first()
+    assert sorted(conflicts) == [2663, 5411]
