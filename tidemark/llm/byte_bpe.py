@@ -24,7 +24,7 @@ from tidemark.llm.common import binary_views, gather_ragged, text_slices
 from tidemark.llm.scan import TransitionScan
 
 #: Pieces that one Python worker remembers; the cache starts anew beyond that.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 800_000
 #: Longest piece merged by scanning all its pairs; longer ones use a heap.
 SHORT_PIECE = 48
 
