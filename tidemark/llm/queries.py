@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, packing, simhash, token_counts, token_files
+from tidemark.llm import byte_bpe, packing, pii, simhash, token_counts, token_files, warc
 from tidemark.sources.scratch import scratch_dir
 
 
@@ -18,6 +19,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id",
+        *(pii.counted(spans, kind).alias(f"n_{kind}") for kind in pii.BASE),
+        F.sha2(pii.spelled(base), 256).alias("base_sha256"),
+        pii.spelled(spans).alias("spans"),
+    )
+
+
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,5 +49,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path, outputs=("ids_crc32",))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path)
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {}
