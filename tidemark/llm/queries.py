@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, packing, pii, simhash, token_counts, token_files, warc
+from tidemark.llm import byte_bpe, langid, packing, pii, simhash, token_counts, token_files, warc
 from tidemark.sources.scratch import scratch_dir
 
 
@@ -49,6 +49,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path, outputs=("ids_crc32",))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    models = langid.train(documents)
+    texts = documents.select("doc_id", langid.held_out("doc_id").alias("held_out"), "text")
+    return langid.predict(texts, models).drop("text")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
