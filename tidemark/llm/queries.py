@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, langid, packing, pii, simhash, token_counts, token_files, warc
+from tidemark.llm import byte_bpe, langid, near_vectors, nearest, packing, pii, simhash, token_counts, token_files, warc
 from tidemark.sources.scratch import scratch_dir
 
 
@@ -56,6 +56,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(texts, models).drop("text")
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
