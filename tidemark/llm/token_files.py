@@ -122,6 +122,12 @@ def put_file(path: str, parts: list[bytes]) -> None:
     store.move(aside, inner)
 
 
+def files_apart(manifest: DataFrame) -> int:
+    """Tasks that read the files of a manifest: one each, up to some thousands. Given as a number, as adaptive
+    execution would put the few bytes of their names into one task."""
+    return max(1, min(manifest.count(), 8192))
+
+
 def write_tokens(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> None:
     """Encodes every whole text and writes shards below path, in ascending order of the document id.
 
@@ -173,7 +179,7 @@ def read_tokens(spark: SparkSession, path: str, outputs: tuple[str, ...] = ("ids
     # one narrow row for each shard, that is for some million ids
     shards = spark.read.parquet(f"{path}/manifest")
     base = F.sum("n_tokens").over(Window.orderBy("part", "number")) - F.col("n_tokens")
-    listed = shards.select("name", base.alias("base")).repartition("name")
+    listed = shards.select("name", base.alias("base")).repartition(files_apart(shards))
     kinds = {"ids": "array<long>", "ids_crc32": "long"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

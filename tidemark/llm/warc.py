@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.token_files import put_file
+from tidemark.llm.token_files import files_apart, put_file
 
 #: Plain bytes of a frame and of a bundle, reached before a new one begins (a longer record has its own frame).
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 64 << 20
@@ -181,7 +181,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     The digest and size of a response are computed from its payload; a revisit has them in its header.
     ``with_payload`` adds the payload of responses (NULL for revisits).
     """
-    listed = spark.read.parquet(f"{path}/manifest").select("name").repartition("name")
+    bundles = spark.read.parquet(f"{path}/manifest").select("name")
+    listed = bundles.repartition(files_apart(bundles))
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"][: int(with_payload)]]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
