@@ -204,5 +204,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = named.groupBy("root").agg(F.min("first").alias("component"))
     of_node = named.join(names, "root").select("bits", "component")
     of_all = nodes.join(of_node, "bits", "left").select("bits", F.coalesce("component", "first").alias("component_id"))
+    # a table, so that both sides of the last join are plain and a hot fingerprint's rows can be split
+    of_all = scratch_table(of_all, "named")
     printed = F.lower(F.lpad(F.hex("bits"), 16, "0"))
     return marked.join(of_all, "bits").select(id_col, printed.alias("fingerprint"), "component_id")
