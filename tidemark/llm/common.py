@@ -33,6 +33,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, col
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
             at = to
+        del whole, data, batch
+        pa.default_memory_pool().release_unused()
 
 
 def gather_ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

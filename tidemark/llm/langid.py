@@ -26,6 +26,8 @@ ORDER = 4
 #: Labelled texts for each language that the models are fitted on, and that calibrate: an expected number, as
 #: rows are taken by a hash of their id.
 FIT_ROWS, CALIBRATION_ROWS = 3000, 1000
+#: Bytes of text scored at once.
+SCORED_BYTES = 1 << 20
 #: Alphabet that the rest of a unigram model's probability is spread over.
 ALPHABET = 1 << 12
 #: Deviations above a language's usual cross-entropy from which a text is rejected.
@@ -251,7 +253,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         sizes = [{"lang": s["lang"], "fold": 0, "n": s["n"]} for s in sizes]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, SCORED_BYTES):
             keys, starts = grams_of(data, offsets)
             lang, names = pd.factorize(rows.column("lang").to_numpy(zero_copy_only=False))
             owner = np.repeat(lang, np.diff(starts))
@@ -268,7 +270,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     shared = df.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, SCORED_BYTES):
             entropy, size = shared.value.entropies(*grams_of(data, offsets))
             yield pa.RecordBatch.from_arrays([rows.column("lang"), pa.array(size), pa.array(list(entropy), pa.list_(pa.float64()))], names=["lang", "size", "entropies"])
 
@@ -288,7 +290,7 @@ def predict(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for rows, data, offsets in text_slices(batches, column=text_col):
+        for rows, data, offsets in text_slices(batches, SCORED_BYTES, text_col):
             keys, starts = grams_of(data, offsets)
             if own.languages:
                 entropy, sizes = own.entropies(keys, starts)

@@ -13,8 +13,8 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import gather_ragged
 
-#: Chunks between white space that one Python worker remembers; the cache starts anew beyond that.
-CACHE_CHUNKS = 600_000
+#: Words that one Python worker remembers, and chunks that aren't plain words; each starts anew beyond that.
+CACHE_WORDS, CACHE_CHUNKS = 500_000, 100_000
 #: Words that need no normalizing but lower case: letters of ASCII and Latin-1.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
@@ -53,7 +53,7 @@ class WordBpe:
         cache = self.cache
         if len(cache) > CACHE_CHUNKS:
             cache.clear()
-        if len(self.words) > CACHE_CHUNKS:
+        if len(self.words) > CACHE_WORDS:
             self.words.clear()
         known = [cache.get(chunk) for chunk in chunks]
         model, words, odd = self.tokenizer.model, self.words, []
@@ -77,7 +77,7 @@ class WordBpe:
                     if last is None:
                         last = words[tail] = array("I", [t.id for t in model.tokenize(tail)]).tobytes()
                     ids += last
-                known[n] = cache[chunk] = ids
+                known[n] = ids
         for n, found in zip(odd, self.tokenizer.encode_batch_fast([chunks[n] for n in odd], add_special_tokens=False)):
             known[n] = array("I", found.ids).tobytes()
             if len(chunks[n]) < 200:
