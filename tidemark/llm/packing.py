@@ -21,7 +21,7 @@ from tidemark.llm import word_bpe
 from tidemark.llm.common import parts_for, scratch_table, text_slices
 
 #: Bytes of text encoded at once: large, since each distinct chunk of it is looked up once.
-ENCODE_BYTES = 6 << 20
+ENCODE_BYTES = 4 << 20
 #: Pieces of one length that are ranked together in one task.
 RANKED = 200_000
 

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import gather_ragged
 
 #: Words that one Python worker remembers, and chunks that aren't plain words; each starts anew beyond that.
-CACHE_WORDS, CACHE_CHUNKS = 500_000, 100_000
+CACHE_WORDS, CACHE_CHUNKS = 200_000, 50_000
 #: Words that need no normalizing but lower case: letters of ASCII and Latin-1.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
