@@ -1,5 +1,8 @@
 """Whole runs into a store: what the sync tests of a file tool check, on small frames."""
 
+from pathlib import Path
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +10,9 @@ from tests.helpers import contents, dirs, manifest, paths_of, payload, statuses
 from tidemark import Converters, SyncSpec, apply, plan, run_sync
 from tidemark.operators import RuleError, Rules
 from tidemark.plans import ConflictError, EmptySourceError, PayloadError
+from tidemark.operators.convert import _apply_udf
 from tidemark.sources import CommitLog
+from tidemark.sources.snapshots import ConcurrentRunError
 
 
 def spec(spark, mappings=(), converters=None, **options):
@@ -234,7 +239,7 @@ def test_a_run_planned_against_an_older_version_cannot_publish(spark, store):
     source, files = manifest(spark, {"a": 1}), payload(spark, {"a": "x", "b": "y"})
     late = plan(spec(spark), source, store.manifest(), target_dirs=store.dirs())
     run_sync(spec(spark), manifest(spark, {"b": 1}), files, SnapshotStore(spark, store.base))
-    with pytest.raises(Exception, match="exist"):
+    with pytest.raises(ConcurrentRunError):
         apply(late, files, store)
     assert contents(store) == {"b": b"y"}
     # planned anew, it goes through
@@ -272,3 +277,30 @@ def test_plan_apply_plan_is_empty_on_random_trees(spark, tmp_path):
         assert after.work.filter("action <> 'skip'").isEmpty() and after.deletes.isEmpty() and after.creates.isEmpty()
         expected = {path.rsplit(".", 1)[0] + ".opus" if path.lower().endswith(".flac") else path for path in files}
         assert set(contents(store)) == expected | protected
+
+
+def test_second_plan_from_one_version_is_refused(spark, store):
+    """Two plans made from version 1: the one applied later must not undo the other, whoever looked meanwhile."""
+    files = payload(spark, {"a": "x", "b": "y", "c": "z"})
+    run_sync(spec(spark), manifest(spark, {"a": 1}), files, store)
+    plans = [plan(spec(spark), manifest(spark, {"a": 1, n: 1}), store.manifest(), target_dirs=store.dirs()) for n in "bc"]
+    assert apply(plans[0], files, store).published
+    store.manifest()
+    with pytest.raises(ConcurrentRunError):
+        apply(plans[1], files, store)
+    assert contents(store) == {"a": b"x", "b": b"y"} and paths_of(store.manifest()) == ["a", "b"]
+
+
+def test_unfinished_and_foreign_commit_files_are_passed_over(store):
+    folder = Path(store.base) / "_commits"
+    folder.mkdir(parents=True)
+    (folder / "0000000001.json").write_text('{"version": 1, "ru')
+    (folder / "notes.txt").write_text("x")
+    assert store.log.head() is None and store.state() == (1, 0)
+
+
+def test_wrong_udf_results_fail_their_rows_only():
+    content = pd.Series([b"a", b"b", b"c"])
+    assert _apply_udf(lambda s: s.iloc[:1] if len(s) > 1 else s, content) == ([b"a", b"b", b"c"], [None] * 3)
+    outputs, messages = _apply_udf(lambda s: s.map(lambda x: "text" if x == b"b" else x), content)
+    assert outputs == [b"a", None, b"c"] and messages == [None, "output is str, not bytes", None]

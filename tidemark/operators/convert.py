@@ -112,7 +112,13 @@ def convert_expressions(items: DataFrame, expressions: dict[str, Callable[[Colum
 def _apply_udf(fn: Callable[[pd.Series], pd.Series], content: pd.Series) -> tuple[list, list]:
     """Outputs and messages of a batch; if the batch fails, of each row on its own."""
     try:
-        return list(fn(content)), [None] * len(content)
+        outputs = list(fn(content))
+        if len(outputs) != len(content):
+            raise ValueError(f"{len(outputs)} outputs for {len(content)} items")
+        for output in outputs:
+            if output is not None and not isinstance(output, (bytes, bytearray, memoryview)):
+                raise TypeError(f"output is {type(output).__name__}, not bytes")
+        return outputs, [None] * len(content)
     except Exception as error:
         if len(content) == 1:
             return [None], [str(error) or type(error).__name__]
@@ -159,9 +165,7 @@ def _convert_batches(
     batches: Iterator[pd.DataFrame], udfs: dict[str, Callable[[pd.Series], pd.Series]], timeout: float
 ) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        outputs = pd.Series([None] * len(batch), dtype=object)
-        codes = pd.Series([None] * len(batch), dtype="Int32")
-        messages = pd.Series([None] * len(batch), dtype=object)
+        outputs, codes, messages = ([None] * len(batch) for _ in range(3))
         batch = batch.reset_index(drop=True)
         for name, group in batch.groupby("converter"):
             if name in udfs:
@@ -180,9 +184,9 @@ def _convert_batches(
                 "converter": batch["converter"],
                 "mtime": batch["mtime"],
                 "mode": batch["mode"].astype("Int32"),
-                "content": outputs,
-                "exit_code": codes,
-                "message": messages,
+                "content": pd.Series(outputs, dtype=object),
+                "exit_code": pd.Series(codes, dtype="Int32"),
+                "message": pd.Series(messages, dtype=object),
             }
         )
 

@@ -238,7 +238,7 @@ def apply(
     The comparison and the transformed items are each written once; the outcome and the new manifest
     read them back. A run that finds nothing to do reads no content and publishes nothing. A
     transaction name (``<stream>-<batch>``) makes a repeated call a no-op. If another run has published
-    since ``store`` gave out the manifest, the commit fails and nothing is published.
+    since the manifest that the plan was made from, the commit fails and nothing is published.
     """
     spark = store.spark
     if txn is not None and not re.fullmatch(r"[A-Za-z0-9_.]+-[0-9]+", txn):
@@ -248,7 +248,8 @@ def apply(
     head = store.log.head()
     if txn is not None and store.has_txn(txn):
         return SyncResult(spark.createDataFrame([], OUTCOME_SCHEMA), head["version"], False)
-    version, run = store.next_version(), txn or uuid.uuid4().hex
+    base = plan.base or (0, 0)  # a target that is no store's suits an empty store only
+    version, run = base[0] + 1, txn or uuid.uuid4().hex
 
     diff = staged(spark, plan.diff, store.path("diff", version, run))
     statistics = _statistics(diff)
@@ -285,7 +286,7 @@ def apply(
         retired = retired_content(diff, stamped, small)
         retired.write.mode("overwrite").parquet(store.path("retired", version, run))
         tables.append("retired")
-    store.commit(version, run=run, tables=tables, txn=txn, retired_bytes=retired_bytes)
+    store.commit(version, base, run=run, tables=tables, txn=txn, retired_bytes=retired_bytes)
     return SyncResult(outcome, version, True)
 
 
@@ -303,4 +304,5 @@ def run_sync(
     """
     fresh_store = store.log.head() is None
     target = initial_target if fresh_store and initial_target is not None else store.manifest()
-    return apply(plan(spec, source, target, source_dirs, store.dirs()), payload, store)
+    base = (max(store.log.versions(), default=0), 0) if fresh_store else None
+    return apply(plan(spec, source, target, source_dirs, store.dirs(), base=base), payload, store)

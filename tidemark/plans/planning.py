@@ -40,6 +40,8 @@ class SyncPlan:
     prunes: bool = True
     #: target rows that the comparison leaves out because nothing can happen to them
     rest: DataFrame | None = None
+    #: the state of the store that the target shows (see ``SnapshotStore.state``); None if it is no store's
+    base: tuple[int, int] | None = None
 
     @property
     def items(self) -> DataFrame:
@@ -91,14 +93,17 @@ def plan(
     target_dirs: DataFrame | None = None,
     prunes: bool = True,
     few_changes: bool = False,
+    base: tuple[int, int] | None = None,
 ) -> SyncPlan:
     """Compare a source manifest with a target manifest under the rules of ``spec``.
 
     ``source_dirs`` and ``target_dirs`` add directories that hold no file; the others follow from the
     manifests. Without ``prunes`` the source is a feed of changes: unlisted target rows are kept, and a
     change older than the target is skipped. ``few_changes`` says that such a feed is known to be small
-    enough to broadcast; the target is then filtered where it is read instead of being shuffled.
+    enough to broadcast; the target is then filtered where it is read instead of being shuffled. ``base``
+    names the store state that a target derived from a store's manifest shows; the manifest itself knows.
     """
+    base = base or getattr(target, "store_state", None)
     items = work_items(spec, source)
     ranked = rank_sources(items, keep=1 if spec.on_conflict == "first" else 2)
     known = exclude_paths(all_dirs(source, source_dirs), spec.source_exclude, "path", spec.strict_globs)
@@ -109,4 +114,4 @@ def plan(
         rest = target.join(touched, "rel_path", "left_anti")
     protect = spec.target_exclude if prunes else ("*",)
     diff = reconcile(ranked, compared, spec.modify_window, protect, spec.strict_globs, newer_only=not prunes)
-    return SyncPlan(spec, source, target, diff, known, all_dirs(target, target_dirs), prunes, rest)
+    return SyncPlan(spec, source, target, diff, known, all_dirs(target, target_dirs), prunes, rest, base)

@@ -8,6 +8,7 @@ if it exists, is the only step that publishes anything.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from typing import Any
 
@@ -20,6 +21,10 @@ from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES
 STORED_MANIFEST_SCHEMA = MANIFEST_SCHEMA + ", data_version bigint"
 
 
+class ConcurrentRunError(RuntimeError):
+    """Another run has published since this one was planned."""
+
+
 class CommitLog:
     """The commit files below ``base``, through the cluster's own file system layer."""
 
@@ -32,16 +37,20 @@ class CommitLog:
     def versions(self) -> list[int]:
         if not self._fs.exists(self._folder):
             return []
-        return sorted(int(status.getPath().getName().split(".")[0]) for status in self._fs.listStatus(self._folder))
+        names = (status.getPath().getName() for status in self._fs.listStatus(self._folder))
+        return sorted(int(name[:-5]) for name in names if re.fullmatch(r"[0-9]{10,}[.]json", name))
 
     def read(self, version: int) -> dict[str, Any] | None:
-        """The commit, or None for a file whose writer did not finish."""
+        """The commit, or None for a file whose writer did not finish, empty or cut short."""
         stream = self._fs.open(self._path(self._folder, f"{version:010d}.json"))
         try:
             content = bytes(stream.readAllBytes())
         finally:
             stream.close()
-        return json.loads(content) if content else None
+        try:
+            return json.loads(content)
+        except ValueError:
+            return None
 
     def entries(self) -> list[dict[str, Any]]:
         return [entry for entry in map(self.read, self.versions()) if entry]
@@ -96,19 +105,17 @@ class SnapshotStore:
         self.spark = spark
         self.base = base.rstrip("/")
         self.log = CommitLog(spark, base)
-        self._next: int | None = None
-
-    def next_version(self) -> int:
-        """The version to publish: the one after the manifest last read here.
-
-        If another writer publishes in between, it takes this version, and committing the run that was
-        planned against the older manifest fails.
-        """
-        return self._next or self.log.next_version()
 
-    def commit(self, version: int, **entry: Any) -> None:
+    def commit(self, version: int, base: tuple[int, int], **entry: Any) -> None:
+        """Publish what was planned against the state ``base``; fails if another run has published since."""
+        if self.state() != base:
+            raise ConcurrentRunError(f"planned against version {base[1]}, but version {self.state()[1]} is published")
         self.log.append(version, **entry)
-        self._next = None
+
+    def state(self) -> tuple[int, int]:
+        """The newest version number taken, and the newest published version (0: none)."""
+        head = self.log.head()
+        return max(self.log.versions(), default=0), head["version"] if head else 0
 
     def path(self, table: str, version: int, run: str) -> str:
         return f"{self.base}/{table}/version={version}/run={run}"
@@ -123,8 +130,11 @@ class SnapshotStore:
         return self.spark.createDataFrame([], schema) if stored is None else stored.drop("version", "run")
 
     def manifest(self) -> DataFrame:
-        self._next = self.log.next_version()
-        return self._head_table("manifest", STORED_MANIFEST_SCHEMA)
+        """The target's rows. The frame remembers the state it shows, and a plan made from it carries that on."""
+        state = self.state()
+        frame = self._head_table("manifest", STORED_MANIFEST_SCHEMA)
+        frame.store_state = state
+        return frame
 
     def dirs(self) -> DataFrame:
         return self._head_table("dirs", "path string")

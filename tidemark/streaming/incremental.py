@@ -28,7 +28,7 @@ def sync_batch(
         return SyncResult(store.spark.createDataFrame([], OUTCOME_SCHEMA), store.log.head()["version"], False)
     # written once: the batch is not recomputed, and its size decides how it meets the target
     target = store.manifest()
-    listed = staged(store.spark, latest_versions(changes), store.path("changes", store.next_version(), txn))
+    listed = staged(store.spark, latest_versions(changes), store.path("changes", target.store_state[0] + 1, txn))
     key_bytes = listed.agg(F.coalesce(F.sum(F.octet_length("rel_path")), F.lit(0))).first()[0]
     intended = plan(
         spec,
