@@ -135,7 +135,8 @@ def test_conflicts(spark):
     assert paths_of(conflict_winners(work)) == ["d/song.flac", "other.flac"]
     first = plan(spec(spark, mappings, on_conflict="first"), source, manifest(spark, {}))
     assert paths_of(first.work) == ["d/song.flac", "other.flac"]
-    assert first.conflicts().first().n_sources == 3
+    claims = {(row.rel_path, row.winner, row.n_sources) for row in first.conflicts().collect()}
+    assert claims == {(f"d/song.{ext}", "d/song.flac", 3) for ext in ("flac", "mp3", "opus")}
     # every row is classified, winners or not
     assert classify(work, manifest(spark, {"d/song.opus": 2})).filter("reason = 'stale'").count() == 2
 

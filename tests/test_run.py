@@ -185,8 +185,17 @@ def test_conflicting_targets(spark, store):
     with pytest.raises(ConflictError, match="s.opus"):
         run_sync(spec(spark, mappings), source, files, store)
     assert store.log.head() is None
-    run_sync(spec(spark, mappings, on_conflict="first"), source, files, store)
+    source = source.unionByName(manifest(spark, {"s.opus": 1}))
+    chosen = spec(spark, mappings, on_conflict="first")
+    lost = {"s.mp3": "conflict", "s.opus": "conflict"}
+    result = run_sync(chosen, source, files, store)
+    assert statuses(result) == {"s.flac": "ok", "t.mp3": "ok"} | lost
+    assert {row.message for row in result.outcome.filter("status = 'conflict'").collect()} == {"target taken by s.flac"}
     assert contents(store) == {"s.opus": b"f", "t.opus": b"t"}
+    assert paths_of(store.manifest()) == ["s.opus", "t.opus"]
+    # a run without work reports them too
+    again = run_sync(chosen, source, untouchable(spark), store)
+    assert not again.published and statuses(again) == {"s.flac": "skipped", "t.mp3": "skipped"} | lost
 
 
 def test_bad_rules_stop_the_run(spark, store):

@@ -3,6 +3,7 @@
 from tidemark.operators.convert import Converters, copy_through, transform, transform_in_workers
 from tidemark.operators.diff import (
     classify,
+    conflict_sources,
     conflict_winners,
     known_targets,
     orphan_files,
@@ -32,6 +33,7 @@ __all__ = [
     "ancestor_dirs",
     "check_rules",
     "classify",
+    "conflict_sources",
     "conflict_winners",
     "copy_through",
     "deepest_first",

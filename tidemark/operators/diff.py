@@ -37,15 +37,28 @@ def conflict_winners(work: DataFrame) -> DataFrame:
 def target_conflicts(work: DataFrame) -> DataFrame:
     """Targets claimed by more than one source: how many, and the first and last of them.
 
-    Everything is folded before the shuffle; no list of sources is ever built.
+    A hash aggregate counts the claims, and only the rows of contested targets are ordered. Everything is
+    folded before the shuffle; no list of sources is ever built.
     """
     order = path_order("rel_path")
-    claims = work.groupBy("target_path").agg(
-        F.count("*").alias("n_sources"),
-        F.min_by("rel_path", order).alias("first_source"),
-        F.max_by("rel_path", order).alias("last_source"),
+    contested = work.groupBy("target_path").agg(F.count("*").alias("n")).filter("n > 1").select("target_path")
+    return (
+        work.join(contested, "target_path", "left_semi")
+        .groupBy("target_path")
+        .agg(
+            F.count("*").alias("n_sources"),
+            F.min_by("rel_path", order).alias("first_source"),
+            F.max_by("rel_path", order).alias("last_source"),
+        )
+    )
+
+
+def conflict_sources(work: DataFrame) -> DataFrame:
+    """Every source of a contested target, a row each: ``target_path, rel_path, winner, n_sources``."""
+    winners = target_conflicts(work).select("target_path", F.col("first_source").alias("winner"), "n_sources")
+    return work.select("target_path", "rel_path").join(winners, "target_path").select(
+        "target_path", "rel_path", "winner", "n_sources"
     )
-    return claims.filter("n_sources > 1")
 
 
 # --- comparison ---------------------------------------------------------------------------------------

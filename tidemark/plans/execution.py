@@ -48,7 +48,10 @@ class EmptySourceError(RuntimeError):
 
 @dataclass(frozen=True)
 class SyncResult:
-    """``outcome`` has one row per item, whatever became of it; ``version`` is the current one."""
+    """``outcome`` has one row per item, whatever became of it; ``version`` is the current one.
+
+    An item whose target another source has taken is there with the status ``conflict``.
+    """
 
     outcome: DataFrame
     version: int | None
@@ -88,8 +91,8 @@ def _batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def _guard(plan: SyncPlan, statistics: list[Row], diff: DataFrame) -> None:
-    if any(row.source_rank == 2 for row in statistics):
-        shown = diff.filter("source_rank = 2").select("target_path").limit(5).collect()
+    if plan.spec.on_conflict == "error" and any(row.source_rank == 2 for row in statistics):
+        shown = diff.filter("source_rank = 2").select("target_path").orderBy("target_path").limit(5).collect()
         raise ConflictError("several sources for " + ", ".join(row.target_path for row in shown))
     deletes = any(row.action == "delete" for row in statistics)
     has_work = any(row.source_rank is not None for row in statistics)
@@ -181,6 +184,27 @@ def _skipped(diff: DataFrame) -> DataFrame:
     )
 
 
+def _beaten(plan: SyncPlan, diff: DataFrame) -> DataFrame:
+    """Sources whose target another one has taken, as outcome rows; the staged comparison says which one won."""
+    contested = diff.filter("source_rank = 2").select("target_path")
+    winners = diff.filter("source_rank = 1").join(contested, "target_path", "left_semi")
+    winners = winners.select("target_path", F.col("rel_path").alias("winner"))
+    return (
+        plan.items.join(winners, "target_path")
+        .filter("rel_path <> winner")
+        .select(
+            "rel_path",
+            "target_path",
+            F.lit("skip").alias("action"),
+            "converter",
+            F.lit("conflict").alias("status"),
+            F.lit(None).cast("int").alias("exit_code"),
+            F.concat(F.lit("target taken by "), "winner").alias("message"),
+            "mtime",
+        )
+    )
+
+
 def stamp(items: DataFrame, version: int) -> DataFrame:
     """Manifest rows of the items that succeeded: they carry the source's version and mode."""
     return items.filter("status = 'ok'").select(
@@ -254,12 +278,18 @@ def apply(
     diff = staged(spark, plan.diff, store.path("diff", version, run))
     statistics = _statistics(diff)
     _guard(plan, statistics, diff)
+    beaten = None
+    if any(row.source_rank == 2 for row in statistics):
+        beaten = staged(spark, _beaten(plan, diff), store.path("conflicts", version, run))
+        diff = diff.filter("source_rank is null or source_rank = 1")
+        statistics = [row for row in statistics if row.source_rank != 2]
+    skipped = _skipped(diff) if beaten is None else _skipped(diff).unionByName(beaten)
 
     actions = {row.action for row in statistics}
     if not actions & {"convert", "copy", "delete"} and plan.creates.isEmpty() and plan.delete_dirs.isEmpty():
-        return SyncResult(_skipped(diff), head["version"] if head else None, False)
+        return SyncResult(skipped, head["version"] if head else None, False)
 
-    tables = ["manifest", "dirs"]
+    tables = ["manifest", "dirs"] if beaten is None else ["manifest", "dirs", "conflicts"]
     small = _small(statistics)
     if actions & {"convert", "copy"}:
         transformed, batch_rows = _transformed(plan, diff, payload, statistics)
@@ -270,10 +300,10 @@ def apply(
         if items.count() + gone.count() != planned:
             raise PayloadError("a path has more than one content")
         tables += ["items", "vanished"]
-        outcome = items.select(*OUTCOME_COLUMNS).unionByName(gone).unionByName(_skipped(diff))
+        outcome = items.select(*OUTCOME_COLUMNS).unionByName(gone).unionByName(skipped)
         stamped = stamp(items, version)
     else:
-        outcome = _skipped(diff)
+        outcome = skipped
         stamped = spark.createDataFrame([], STORED_MANIFEST_SCHEMA)
 
     after = next_manifest(diff, stamped, small)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.diff import PLAN_COLUMNS, known_targets, rank_sources, reconcile, target_conflicts
+from tidemark.operators.diff import PLAN_COLUMNS, conflict_sources, known_targets, rank_sources, reconcile
 from tidemark.operators.directories import all_dirs, missing_dirs, removable_dirs
 from tidemark.operators.filters import exclude_paths, keep_mapped
 from tidemark.operators.reports import action_summary, scanned_count
@@ -32,7 +32,8 @@ class SyncPlan:
     spec: SyncSpec
     source: DataFrame
     target: DataFrame
-    #: every work item, every orphaned or protected target row, side by side (see ``reconcile``)
+    #: the first two work items of every target, every orphaned or protected target row, side by side (see
+    #: ``reconcile``); a second item (``source_rank`` 2) shows that the target is contested
     diff: DataFrame
     known_dirs: DataFrame
     target_dirs: DataFrame
@@ -76,7 +77,8 @@ class SyncPlan:
         )
 
     def conflicts(self) -> DataFrame:
-        return target_conflicts(self.items)
+        """Every source of a target that several claim, with the one that ``on_conflict="first"`` takes."""
+        return conflict_sources(self.items)
 
     def scanned(self) -> DataFrame:
         return scanned_count(self.items)
@@ -105,7 +107,7 @@ def plan(
     """
     base = base or getattr(target, "store_state", None)
     items = work_items(spec, source)
-    ranked = rank_sources(items, keep=1 if spec.on_conflict == "first" else 2)
+    ranked = rank_sources(items, keep=2)
     known = exclude_paths(all_dirs(source, source_dirs), spec.source_exclude, "path", spec.strict_globs)
     compared, rest = target, None
     if few_changes and not prunes:

@@ -97,7 +97,7 @@ class SnapshotStore:
     content that changed, however large the target is.
 
     Tables: ``manifest`` and ``dirs`` (the state), ``items`` (content and outcome of worked items),
-    ``vanished`` (items whose source was gone), ``retired`` (replaced or deleted content), ``diff`` (the
+    ``vanished`` (items whose source was gone), ``conflicts`` (items that lost their target to another), ``retired`` (replaced or deleted content), ``diff`` (the
     comparison a run acted on) and, for feeds, ``changes``.
     """
 
@@ -140,7 +140,10 @@ class SnapshotStore:
         return self._head_table("dirs", "path string")
 
     def content(self) -> DataFrame:
-        """The current target with its content: ``rel_path, mtime, size, mode, content``.
+        """What runs have written of the current target: ``rel_path, mtime, size, mode, content``.
+
+        These are the rows of the manifest with a ``data_version``. Rows taken over from an initial target have
+        none: their content is where it was before.
 
         Runs list the content they replaced or deleted. As long as that list is small it is broadcast,
         so reading the target neither shuffles content nor needs the manifest.
@@ -148,7 +151,7 @@ class SnapshotStore:
         entries = self.log.entries()
         items = self._read("items", entries)
         if items is None:
-            return self.manifest().drop("data_version").withColumn("content", F.lit(None).cast("binary"))
+            return self.manifest().limit(0).drop("data_version").withColumn("content", F.lit(None).cast("binary"))
         written = items.filter("status = 'ok'").select(
             F.col("target_path").alias("rel_path"),
             F.col("version").cast("bigint").alias("data_version"),

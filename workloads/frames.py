@@ -177,6 +177,22 @@ def pick(options: list[str], number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(option) for option in options]), number.cast("int") + 1)
 
 
+CLAIM_EXTENSIONS = ("htm", "md", "rst")
+
+
+def doc_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under names that differ in the extension only, three at a time, with their content."""
+    doc_id = F.col("doc_id")
+    stem = F.floor(doc_id / 3).cast("bigint").cast("string")
+    return read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("notes/"), stem, F.lit("."), pick(CLAIM_EXTENSIONS, doc_id % 3)).alias("rel_path"),
+        F.timestamp_seconds(doc_id).alias("mtime"),
+        F.col("n_chars").alias("size"),
+        F.lit(None).cast("int").alias("mode"),
+        F.col("text").alias("content"),
+    )
+
+
 def doc_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A template per document: a fixed one behind the document's stem."""
     template = pick(TEMPLATES, F.col("doc_id") % len(TEMPLATES))

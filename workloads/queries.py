@@ -27,6 +27,7 @@ from tidemark.operators import (
     action_summary,
     ancestor_dirs,
     classify,
+    conflict_sources,
     conflict_winners,
     copy_through,
     deepest_first,
@@ -277,6 +278,24 @@ def line_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_conflicts(frames.line_work(spark, sf_dir))
 
 
+@query("conflict_sources")
+def line_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conflict_sources(frames.line_work(spark, sf_dir))
+
+
+@query("conflict_outcome")
+def conflict_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run in which up to three documents claim each target: one is converted, the others are reported."""
+    claims = frames.doc_claims(spark, sf_dir)
+    converters = Converters().register("clean", lambda text: F.replace(text, F.lit(" "), F.lit("_")))
+    rules = converters.rules(spark, [(ext, "clean", "txt") for ext in frames.CLAIM_EXTENSIONS])
+    spec = SyncSpec(rules=rules, converters=converters, on_conflict="first", allow_empty_output=True)
+    store = SnapshotStore(spark, scratch_dir(spark, "claims"))
+    result = run_sync(spec, claims.drop("content"), claims.select("rel_path", "content"), store)
+    beaten = F.when(F.col("status") == "conflict", F.col("message"))
+    return result.outcome.select("rel_path", "target_path", "status", beaten.alias("message"))
+
+
 @query("conflict_winner")
 def conflict_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_path_order(conflict_winners(frames.line_work(spark, sf_dir))).select(
@@ -433,6 +452,18 @@ def post_sync_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("content_matches_manifest")
+def content_matches_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's written rows and the content's rows side by side."""
+    store, _ = _sync_into_store(spark, sf_dir, frames.text_converters())
+    listed = store.manifest().filter("data_version is not null").alias("m")
+    read = store.content().alias("c")
+    same = [F.col(f"m.{name}").eqNullSafe(F.col(f"c.{name}")) for name in ("rel_path", "mtime", "size", "mode")]
+    return listed.join(read, F.col("m.rel_path") == F.col("c.rel_path"), "full").select(
+        F.coalesce("m.rel_path", "c.rel_path").alias("rel_path"), (same[0] & same[1] & same[2] & same[3]).alias("agrees")
+    )
+
+
 @query("post_sync_dirs")
 def post_sync_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, _ = _sync_into_store(spark, sf_dir, frames.text_converters())
