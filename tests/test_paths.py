@@ -49,8 +49,8 @@ def test_path_parts(spark, column, expected):
 
 
 def test_normalize_ext(spark):
-    assert evaluate(spark, normalize_ext("e"), ["flac", ".WAV", ".OGG", "", "."], "e string") == [
-        ".flac", ".wav", ".ogg", ".", ".",
+    assert evaluate(spark, normalize_ext("e"), ["csv", ".Xml", ".TIFF", "", "."], "e string") == [
+        ".csv", ".xml", ".tiff", ".", ".",
     ]
 
 

@@ -10,8 +10,8 @@ from tests.helpers import manifest
 
 GOOD = {
     "sync": {"copy_unmatched": False, "source_exclude": ["*.log"], "target_exclude": ["*.m3u"]},
-    "converters": {"opus": {"command": ["ffmpeg", "-i", "{input}", "{output}"]}},
-    "mappings": {".flac": {"converter": "opus", "output_ext": ".opus"}},
+    "converters": {"thumb": {"command": ["shrink", "--to={output}", "{input}"]}},
+    "mappings": {".tiff": {"converter": "thumb", "output_ext": ".webp"}},
 }
 
 
@@ -28,7 +28,7 @@ def codes(found):
 def test_full_config(spark, tmp_path):
     spec = SyncSpec.from_config(spark, config(tmp_path))
     assert (spec.copy_unmatched, spec.source_exclude, spec.target_exclude) == (False, ("*.log",), ("*.m3u",))
-    assert spec.converters.commands == {"opus": ["ffmpeg", "-i", "{input}", "{output}"]}
+    assert spec.converters.commands == {"thumb": ["shrink", "--to={output}", "{input}"]}
     check_rules(spec.rules)
 
 
@@ -66,19 +66,19 @@ def test_config_arguments_are_checked(spark, tmp_path):
 
 
 def test_key_normalization(spark):
-    mapped = [("flac", "c", "opus"), (".WAV", "c", None), (".OGG", "c", ".MP3"), ("", "c", "")]
+    mapped = [("csv", "c", "json"), (".Xml", "c", None), (".TIFF", "c", ".WebP"), ("", "c", "")]
     found = rules.normalized_mappings(Rules.of(spark, mapped).mappings).collect()
     assert [(row.ext, row.output_ext) for row in found] == [
-        (".flac", ".opus"), (".wav", ".wav"), (".ogg", ".mp3"), (".", "."),
+        (".csv", ".json"), (".xml", ".xml"), (".tiff", ".webp"), (".", "."),
     ]
 
 
 def test_every_violation_is_found(spark):
     found = Rules.of(
         spark,
-        [("flac", "opus", None), (".FLAC", "opus", "x"), ("a", None, None), ("b", "nowhere", None)],
+        [("csv", "thumb", None), (".CSV", "thumb", "x"), ("a", None, None), ("b", "nowhere", None)],
         [
-            ("opus", "command", ["x", "{input}"]),
+            ("thumb", "command", ["x", "{input}"]),
             ("none", "command", None),
             ("empty", "command", []),
             ("open", "command", ["ok", "{input", "}"]),
@@ -97,7 +97,7 @@ def test_every_violation_is_found(spark):
         ("converter", "twice", "duplicate_converter"),
         ("mapping", ".a", "missing_converter"),
         ("mapping", ".b", "undefined_converter"),
-        ("mapping", ".flac", "duplicate_mapping"),
+        ("mapping", ".csv", "duplicate_mapping"),
     ]
     messages = {row.subject: row.message for row in rule_errors(found).collect()}
     assert messages["open"] == "unmatched_open at byte 0 of {input"

@@ -6,26 +6,23 @@ from pyspark.sql import functions as F
 from tidemark.functions import render_template, template_error
 
 
-def by_hand(text: str, variables: dict[str, str]):
-    """Rendered text, or the error as (code, byte offset, name): one character at a time."""
-    result, at = "", 0
-    while at < len(text):
-        here, offset = text[at], len(text[:at].encode())
-        if here in "{}" and text[at : at + 2] == here * 2:
-            result, at = result + here, at + 2
-        elif here == "{":
-            end = text.find("}", at)
-            if end < 0:
-                return ("unmatched_open", offset, None)
-            name = text[at + 1 : end]
-            if name not in variables:
-                return ("unknown_variable", offset, name)
-            result, at = result + variables[name], end + 1
-        elif here == "}":
-            return ("unmatched_close", offset, None)
-        else:
-            result, at = result + here, at + 1
-    return result
+VARIABLES = {"a": "{x}", "": "empty", "aé": "Ü"}
+#: parts with what each one becomes, and endings with the code and name of their error
+PARTS = [("{a}", "{x}"), ("{}", "empty"), ("{aé}", "Ü"), ("{{", "{"), ("}}", "}"), ("plain", "plain"), ("é", "é"), ("\n", "\n")]
+BREAKS = [("{nope}", "unknown_variable", "nope"), ("{open", "unmatched_open", None), ("}shut", "unmatched_close", None)]
+
+
+@st.composite
+def built(draw):
+    """A template put together from known parts, and its text or its error as (code, byte offset, name)."""
+    parts = draw(st.lists(st.sampled_from(PARTS), max_size=8))
+    template = "".join(part for part, _ in parts)
+    broken = draw(st.none() | st.sampled_from(BREAKS))
+    if broken is None:
+        return template, "".join(text for _, text in parts)
+    ending, code, name = broken
+    after = "" if code == "unmatched_open" else draw(st.text("{}aé\n", max_size=5))  # only the first error counts
+    return template + ending + after, (code, len(template.encode()), name)
 
 
 def by_spark(spark, templates, variables):
@@ -46,40 +43,38 @@ def by_spark(spark, templates, variables):
 @pytest.mark.parametrize(
     ("template", "expected"),
     [
-        ("{input}", "/path/file.flac"),
-        ("{stem}.{ext}", "song.flac"),
-        ("{{literal}}", "{literal}"),
-        ("{{before}}{input}{{after}}", "{before}/path/file.flac{after}"),
-        ("{input}/middle/{stem}", "/path/file.flac/middle/song"),
-        ("-c:a", "-c:a"),
+        ("{input}", "in/new report.md"),
+        ("{ext}-{stem}", "md-report"),
+        ("{{braced}}", "{braced}"),
+        ("<{{{{{stem}}}}}>", "<{{report}}>"),
+        ("{stem}{stem} {ext}", "reportreport md"),
+        ("--quiet", "--quiet"),
         ("", ""),
-        ("{bad}", ("unknown_variable", 0, "bad")),
-        ("{unclosed", ("unmatched_open", 0, None)),
-        ("extra}", ("unmatched_close", 5, None)),
-        ("{{{input}}}", "{/path/file.flac}"),
-        ("{}", ("unknown_variable", 0, "")),
-        ("é{stem}{ext}", "ésongflac"),
-        ("a{{x{stem}", "a{xsong"),
-        ("é{bad}x", ("unknown_variable", 2, "bad")),
-        ("aé}", ("unmatched_close", 3, None)),
-        ("{a{stem}", ("unknown_variable", 0, "a{stem")),
-        ("line\n{stem}\n", "line\nsong\n"),
+        ("{volume}", ("unknown_variable", 0, "volume")),
+        ("x {stem", ("unmatched_open", 2, None)),
+        ("tail}x", ("unmatched_close", 4, None)),
+        ("{{{ext}}}", "{md}"),
+        ("{ }", ("unknown_variable", 0, " ")),
+        ("ß{ext}{stem}", "ßmdreport"),
+        ("q}}z{ext}", "q}zmd"),
+        ("ü{codec}", ("unknown_variable", 2, "codec")),
+        ("öö}", ("unmatched_close", 4, None)),
+        ("{b{ext}", ("unknown_variable", 0, "b{ext")),
+        ("two\n{ext}\n", "two\nmd\n"),
     ],
 )
 def test_known_cases(spark, template, expected):
-    variables = {"input": "/path/file.flac", "stem": "song", "ext": "flac"}
-    assert by_hand(template, variables) == expected
+    variables = {"input": "in/new report.md", "stem": "report", "ext": "md"}
     assert by_spark(spark, [template], variables) == [expected]
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.text("{}aé\n", max_size=9), min_size=20, max_size=60))
-def test_against_brute_force(spark, templates):
-    variables = {"a": "{x}", "": "empty", "aé": "Ü"}
-    assert by_spark(spark, templates, variables) == [by_hand(template, variables) for template in templates]
+@given(st.lists(built(), min_size=20, max_size=60))
+def test_templates_of_known_parts(spark, cases):
+    assert by_spark(spark, [template for template, _ in cases], VARIABLES) == [expected for _, expected in cases]
 
 
 def test_array_template(spark):
     variables = F.create_map(F.lit("input"), F.lit("in"), F.lit("output"), F.lit("out"))
-    frame = spark.createDataFrame([(["-i", "{input}", "{output}"],), ([],), (["ok", "{bad}"],)], "t array<string>")
+    frame = spark.createDataFrame([(["-i", "{input}", "{output}"],), ([],), (["ok", "{volume}"],)], "t array<string>")
     assert [row[0] for row in frame.select(render_template("t", variables)).collect()] == [["-i", "in", "out"], [], None]

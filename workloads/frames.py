@@ -19,20 +19,20 @@ MANIFEST = ("rel_path", "mtime", "size", "mode")
 
 #: templates from well-formed to malformed; rows pick one by number
 TEMPLATES = [
-    "{input}",
-    "{stem}.{ext}",
-    "{{literal}}",
-    "{{before}}{input}{{after}}",
-    "{bad}",
-    "{unclosed",
-    "extra}",
-    "{{{input}}}",
-    "{}",
-    "é{stem}{ext}",
-    "a{{x{stem}",
-    "é{bad}x",
-    "aé}",
-    "-c:a",
+    "--from={input}",
+    "{ext}-{stem}",
+    "{{braced}}",
+    "<{{{{{input}}}}}>",
+    "{volume}",
+    "x {stem",
+    "tail}x",
+    "{{{ext}}}",
+    "{ }",
+    "ß{ext}{stem}",
+    "q}}z{ext}",
+    "ü{codec}",
+    "öö}",
+    "--quiet",
 ]
 
 

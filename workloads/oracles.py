@@ -195,20 +195,20 @@ TEMPLATE_ERRORS = TEMPLATE_ERRORS.replace("t = '{{'", "t = '{'")
 
 RENDERED = [
     # rendered text of each template, as SQL over the document's columns; NULL where it is malformed
-    "rel_path",
-    "stem || '.' || ext",
-    "'{literal}'",
-    "'{before}' || rel_path || '{after}'",
+    "'--from=' || rel_path",
+    "ext || '-' || stem",
+    "'{braced}'",
+    "'<{{' || rel_path || '}}>'",
     "NULL",
     "NULL",
     "NULL",
-    "'{' || rel_path || '}'",
+    "'{' || ext || '}'",
     "NULL",
-    "'é' || stem || ext",
-    "'a{x' || stem",
+    "'ß' || ext || stem",
+    "'q}z' || ext",
     "NULL",
     "NULL",
-    "'-c:a'",
+    "'--quiet'",
 ]
 RENDER_CASES = " ".join(f"when {number} then {text}" for number, text in enumerate(RENDERED))
 
