@@ -14,6 +14,21 @@ from tidemark.sources.scratch import scratch_dir
 
 #: Bytes of text that one step of a task works on; bounds the arrays that grow with the text.
 SLICE_BYTES = 2 << 20
+#: Bytes of rows that a Python worker is sent at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Returns df; its session then sends whole texts to Python workers in batches of ``BATCH_BYTES`` (one row at least).
+
+    Spark's own bounds are 10,000 rows and 64 MiB, of which the executor and each worker hold copies. A lower
+    bound of the session stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, column: str = "text"):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import LETTER, classes
-from tidemark.llm.common import text_slices
+from tidemark.llm.common import small_batches, text_slices
 
 ORDER = 4
 #: Labelled texts for each language that the models are fitted on, and that calibrate: an expected number, as
@@ -235,7 +235,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for each language. The driver gets the counts of distinct n-grams of those rows and their cross-entropies.
     """
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3
-    usable = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold.alias("fold")).where("fold <> 1 and text is not null and lang is not null")
+    usable = small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold.alias("fold")).where("fold <> 1 and text is not null and lang is not null")
     sizes = usable.groupBy("lang", "fold").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return Models([])
@@ -276,6 +276,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     seen = sample(2, CALIBRATION_ROWS).mapInArrow(measure, "lang string, size long, entropies array<double>").where("size > 0")
     measured = seen.toArrow().to_pandas()
+    shared.unpersist()
     calibrate(models, measured[measured["lang"].isin(known)])
     return models
 
@@ -302,4 +303,4 @@ def predict(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, names=[*rows.schema.names, "lang_pred", "score", "rejected"])
 
     schema = df.selectExpr("*", "'' as lang_pred", "0d as score", "false as rejected").schema
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

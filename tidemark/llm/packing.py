@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import word_bpe
-from tidemark.llm.common import parts_for, scratch_table, text_slices
+from tidemark.llm.common import parts_for, scratch_table, small_batches, text_slices
 
 #: Bytes of text encoded at once: large, since each distinct chunk of it is looked up once.
 ENCODE_BYTES = 4 << 20
@@ -101,7 +101,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             out = [rows.column("id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=[id_col, "piece", "start", "length", "ids_crc32"])
 
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 

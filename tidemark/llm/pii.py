@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 #: Score of a match by its form and check alone, and what a context word nearby adds.
@@ -122,7 +124,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, ["kind", "start", "end", "score"]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), spans], names=[id_col, "spans"])
 
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, f"`{id_col}` {kind}, spans {SPAN}")
 
 
@@ -136,11 +138,14 @@ def _running(sizes: Iterator[int]) -> Iterator[int]:
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns; in the text each span gives way to its kind in brackets. NULL stays NULL."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda text: redacted(text) if text else text)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [redacted(text) if text else text for text in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.names[at], pa.array(clean, pa.string()))
 
-    return df.withColumn(text_col, clean(F.col(text_col)))
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def spelled(spans: Column) -> Column:

@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, scratch_table, text_slices, whole_runs, with_pair_blocks
+from tidemark.llm.common import components, scratch_table, small_batches, text_slices, whole_runs, with_pair_blocks
 
 #: Fingerprints of one choice of bits that are compared in one task; larger groups are dealt as pairs of blocks.
 GROUP = 2048
 #: Planes added between two looks at what can be abandoned.
 STRIDE = 8
+#: Bytes of text whose shingles are hashed at once.
+HASHED_BYTES = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 WHITE = np.zeros(256, bool)
@@ -75,11 +77,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, HASHED_BYTES):
             bits = fingerprints_of(data, offsets, width).view(np.int64)
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(bits)], names=[id_col, "bits"])
 
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = small_batches(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, f"`{id_col}` {kind}, bits long")
 
 
