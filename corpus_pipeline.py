@@ -28,7 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = simhash.near_duplicates(docs)
     stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     judged = scratch_table(groups.groupBy("doc_id").agg(stays.alias("stays"), F.count("*").alias("n")), "judged")
-    gone = judged.where("not stays").select(F.col("doc_id").alias("gone"))
+    # the ids grow with the documents: never broadcast, so the join is the same at every size, and texts aren't sorted
+    gone = judged.where("not stays").select(F.col("doc_id").alias("gone")).hint("shuffle_hash")
     kept = docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
     if not judged.where("stays and n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
