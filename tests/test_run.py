@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.helpers import contents, dirs, manifest, paths_of, payload, statuses
 from tidemark import Converters, SyncSpec, apply, plan, run_sync
 from tidemark.operators import RuleError, Rules
-from tidemark.plans import ConflictError, EmptySourceError, PayloadError
+from tidemark.plans import ConflictError, EmptySourceError, PayloadError, execution
 from tidemark.operators.convert import _apply_udf
 from tidemark.sources import CommitLog
 from tidemark.sources.snapshots import ConcurrentRunError
@@ -313,3 +313,31 @@ def test_wrong_udf_results_fail_their_rows_only():
     assert _apply_udf(lambda s: s.iloc[:1] if len(s) > 1 else s, content) == ([b"a", b"b", b"c"], [None] * 3)
     outputs, messages = _apply_udf(lambda s: s.map(lambda x: "text" if x == b"b" else x), content)
     assert outputs == [b"a", None, b"c"] and messages == [None, "output is str, not bytes", None]
+
+
+def counted_source(spark, files, seen):
+    """A manifest whose rows are counted as they are read."""
+
+    def read(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = manifest(spark, files)
+    return rows.mapInPandas(read, rows.schema)
+
+
+@pytest.mark.parametrize("limit", [1, 64 << 20])
+def test_the_source_is_read_once_to_compare_and_once_for_directories(spark, store, monkeypatch, limit):
+    monkeypatch.setattr(execution, "WORKER_BATCH_BYTES", limit)
+    converters = Converters().register_udf("twice", lambda content: content.map(lambda value: value * 2))
+    rules = SyncSpec(rules=converters.rules(spark, [("raw", "twice", "out")]), converters=converters)
+    files = {f"d/{n}.raw": 1 for n in range(6)}
+    content = payload(spark, {path: path for path in files})
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    for published in (True, False):
+        seen = spark.sparkContext.accumulator(0)
+        assert run_sync(rules, counted_source(spark, files, seen), content, store).published is published
+        assert seen.value <= 2 * len(files)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert contents(store) == {f"d/{n}.out": f"d/{n}.rawd/{n}.raw".encode() for n in range(6)}

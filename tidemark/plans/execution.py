@@ -7,7 +7,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -25,13 +25,15 @@ from tidemark.sources.snapshots import STORED_MANIFEST_SCHEMA, SnapshotStore
 PARTITION_BYTES = 128 << 20
 PARTITION_ITEMS = 100_000
 WORKER_BATCH_BYTES = 32 << 20
+#: no run has more tasks than this for its content; beyond it tasks grow, which streams and spills allow
+MAX_TASKS = 20_000
 #: assumed when the manifest has no sizes
 UNKNOWN_SIZE = 1 << 20
 OUTCOME_SCHEMA = (
     "rel_path string, target_path string, action string, converter string, status string, exit_code int, "
     "message string, mtime timestamp"
 )
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class ConflictError(RuntimeError):
@@ -72,7 +74,6 @@ def _statistics(diff: DataFrame) -> list[Row]:
         .agg(
             F.count("*").alias("items"),
             F.sum(size).alias("bytes"),
-            F.max(size).alias("largest"),
             F.sum(F.octet_length("target_path") + F.octet_length(F.coalesce("rel_path", F.lit("")))).alias("key_bytes"),
         )
         .collect()
@@ -80,14 +81,14 @@ def _statistics(diff: DataFrame) -> list[Row]:
 
 
 @contextmanager
-def _batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Bound the rows per Arrow batch, since rows carry whole contents."""
-    before = spark.conf.get(_BATCH_ROWS)
-    spark.conf.set(_BATCH_ROWS, str(rows))
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the bytes per Arrow batch, since rows carry whole contents."""
+    before = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, str(WORKER_BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(_BATCH_ROWS, before)
+        spark.conf.set(_BATCH_BYTES, before)
 
 
 def _guard(plan: SyncPlan, statistics: list[Row], diff: DataFrame) -> None:
@@ -102,15 +103,15 @@ def _guard(plan: SyncPlan, statistics: list[Row], diff: DataFrame) -> None:
 
 def _tasks(spark: SparkSession, rows: list[Row]) -> int:
     """Partitions for items of known total size: the cost follows the bytes, the memory the rows."""
-    return max(
-        spark.sparkContext.defaultParallelism,
+    wanted = max(
         math.ceil(sum(row.bytes for row in rows) / PARTITION_BYTES),
         math.ceil(sum(row["items"] for row in rows) / PARTITION_ITEMS),
     )
+    return max(spark.sparkContext.defaultParallelism, min(wanted, MAX_TASKS))
 
 
-def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame, statistics: list[Row]) -> tuple[DataFrame, int]:
-    """The worked items with their content, and the row bound for their Arrow batches."""
+def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame, statistics: list[Row]) -> DataFrame:
+    """The worked items with their content."""
     spec, spark = plan.spec, diff.sparkSession
     work = diff.filter(F.col("action").isin("convert", "copy")).select(
         "rel_path", "target_path", "action", "converter", "kind", "mtime", "mode"
@@ -119,7 +120,6 @@ def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame, statistics
     in_workers = [row for row in todo if row.kind in ("udf", "command")]
     on_jvm = [row for row in todo if row.kind not in ("udf", "command")]
     parts: list[DataFrame] = []
-    batch_rows = int(spark.conf.get(_BATCH_ROWS))
     python_kind = F.coalesce(F.col("kind").isin("udf", "command"), F.lit(False))
     if on_jvm:
         key_bytes, tasks = sum(row.key_bytes for row in on_jvm), _tasks(spark, on_jvm)
@@ -141,9 +141,7 @@ def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame, statistics
                 spec.rules.bounded,
             )
         )
-        largest = max(row.largest for row in in_workers)
-        batch_rows = max(1, min(batch_rows, WORKER_BATCH_BYTES // max(largest, 1)))
-    return reduce(DataFrame.unionByName, parts), batch_rows
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _small(statistics: list[Row]) -> bool:
@@ -276,6 +274,9 @@ def apply(
     version, run = base[0] + 1, txn or uuid.uuid4().hex
 
     diff = staged(spark, plan.diff, store.path("diff", version, run))
+    # directories follow from the same comparison: neither it nor the source's directories are derived again
+    known = staged(spark, plan.known_dirs, store.path("known", version, run))
+    plan = replace(plan, diff=diff, known_dirs=known)
     statistics = _statistics(diff)
     _guard(plan, statistics, diff)
     beaten = None
@@ -292,9 +293,8 @@ def apply(
     tables = ["manifest", "dirs"] if beaten is None else ["manifest", "dirs", "conflicts"]
     small = _small(statistics)
     if actions & {"convert", "copy"}:
-        transformed, batch_rows = _transformed(plan, diff, payload, statistics)
-        with _batch_rows(spark, batch_rows):
-            items = staged(spark, transformed, store.path("items", version, run))
+        with _small_batches(spark):
+            items = staged(spark, _transformed(plan, diff, payload, statistics), store.path("items", version, run))
         gone = staged(spark, _vanished(diff, items, small), store.path("vanished", version, run))
         planned = sum(row["items"] for row in statistics if row.action in ("convert", "copy"))
         if items.count() + gone.count() != planned:
