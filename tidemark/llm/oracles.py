@@ -48,4 +48,40 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
 FROM counted
 """
 
-ORACLES = {"op12_filter_audit": OP12}
+#: CRC-32 of the decimal id, bit by bit; nodes are prefixes as lists, and a subtree is what has the prefix.
+OP13 = r"""
+WITH own AS (
+    SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, '')) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (
+    SELECT *, xor(4294967295::BIGINT, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, byte: list_reduce(
+            [xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) % 6 AS h
+    FROM own
+), seqs AS (
+    SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS seq
+    FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+), members AS (
+    SELECT conv_id, len(seq) AS size, d, seq[1:d] AS p FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM seqs)
+), nodes AS (
+    SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256
+    FROM members GROUP BY d, p
+), kids AS (
+    SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), facts AS (
+    SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.d = n.d AND k.p = n.p
+), below AS (
+    SELECT a AS d, p[1:a] AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+        sum(CASE WHEN d > 0 THEN (n_convs - 1) * length(p[d].text) ELSE 0 END) AS saved
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM facts) GROUP BY ALL
+)
+SELECT f.conv_id, f.d::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs,
+    f.n_children::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM facts f JOIN below b ON b.d = f.d AND b.p = f.p
+LEFT JOIN nodes up ON up.d = f.d - 1 AND up.p = f.p[1:f.d - 1]
+"""
+
+ORACLES = {"op12_filter_audit": OP12, "op13_prefix_trie": OP13}

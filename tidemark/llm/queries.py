@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, filter_audit, langid, near_vectors, nearest, oracles, packing, pii, simhash, token_counts, token_files, warc
+from tidemark.llm import byte_bpe, filter_audit, langid, near_vectors, nearest, oracles, packing, pii, prefix_trie, simhash, token_counts, token_files, warc
 from tidemark.sources.scratch import scratch_dir
 
 
@@ -74,5 +74,9 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
