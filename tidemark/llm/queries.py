@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, filter_audit, langid, near_vectors, nearest, oracles, packing, pii, prefix_trie, simhash, token_counts, token_files, warc
+from tidemark.llm import byte_bpe, filter_audit, langid, lattice, near_vectors, nearest, oracles, packing, pii, prefix_trie, simhash, token_counts, token_files, warc
 from tidemark.sources.scratch import scratch_dir
 
 
@@ -70,6 +70,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path)
 
 
+def op11_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
