@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.convert import OUTCOME_COLUMNS, transform, transform_in_workers
 from tidemark.operators.directories import parent_dirs, with_ancestors
-from tidemark.operators.rules import check_rules
+from tidemark.operators.rules import RuleError, check_rules
 from tidemark.plans.planning import SyncPlan, plan
 from tidemark.plans.spec import SyncSpec
-from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES, load_payload
+from tidemark.sources.indexed import IndexedContent
+from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES, load_payload, repeated_content
 from tidemark.sources.snapshots import STORED_MANIFEST_SCHEMA, SnapshotStore
 
 #: content and items per task, and content per Arrow batch of the Python converters
@@ -110,7 +111,20 @@ def _tasks(spark: SparkSession, rows: list[Row]) -> int:
     return max(spark.sparkContext.defaultParallelism, min(wanted, MAX_TASKS))
 
 
-def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame, statistics: list[Row]) -> DataFrame:
+def _check_work(plan: SyncPlan, diff: DataFrame, payload: DataFrame | IndexedContent, statistics: list[Row]) -> None:
+    """Raise for what would make the run fail after all converters have worked."""
+    spec, worked = plan.spec, diff.filter(F.col("action").isin("convert", "copy"))
+    for kind, known in (("expression", spec.converters.expressions), ("udf", spec.converters.udfs)):
+        if any(row.kind == kind for row in statistics):
+            names = worked.filter((F.col("kind") == kind) & ~F.col("converter").isin(*known)).select("converter").distinct()
+            if missing := sorted(row.converter for row in names.limit(5).collect()):
+                raise RuleError(f"no {kind} is registered for {', '.join(missing)}")
+    key_bytes = sum(row.key_bytes for row in statistics if row.action in ("convert", "copy"))
+    if shown := repeated_content(payload, worked, key_bytes).limit(5).collect():
+        raise PayloadError("a path has more than one content: " + ", ".join(sorted(row.rel_path for row in shown)))
+
+
+def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame | IndexedContent, statistics: list[Row]) -> DataFrame:
     """The worked items with their content."""
     spec, spark = plan.spec, diff.sparkSession
     work = diff.filter(F.col("action").isin("convert", "copy")).select(
@@ -252,15 +266,39 @@ def next_dirs(plan: SyncPlan, manifest: DataFrame, stamped: DataFrame) -> DataFr
     return with_ancestors(plan.known_dirs.unionByName(parent_dirs(stamped)).unionByName(plan.target_dirs))
 
 
+def manifest_changes(diff: DataFrame, stamped: DataFrame) -> DataFrame:
+    """What the run changes in the target's manifest: rows written, and the paths of deleted ones marked ``gone``."""
+    deleted = diff.filter("action = 'delete'").select(F.col("target_path").alias("rel_path"), F.lit(True).alias("gone"))
+    written = stamped.withColumn("gone", F.lit(False))
+    return written.unionByName(deleted, allowMissingColumns=True)
+
+
+def dir_changes(plan: SyncPlan, before: DataFrame, manifest: DataFrame, stamped: DataFrame, small: bool = False) -> DataFrame:
+    """Directories that the run adds to those before it, and, marked ``gone``, those it removes."""
+    if plan.prunes:
+        now = next_dirs(plan, manifest, stamped).withColumn("now", F.lit(True))
+        both = now.join(before.withColumn("was", F.lit(True)), "path", "full").where("now is null or was is null")
+        return both.select("path", F.col("now").isNull().alias("gone"))
+    new = with_ancestors(plan.known_dirs.unionByName(parent_dirs(stamped)))
+    there = before.join(_hinted(new, small), "path", "left_semi")
+    return new.join(there, "path", "left_anti").withColumn("gone", F.lit(False))
+
+
 def apply(
-    plan: SyncPlan, payload: DataFrame, store: SnapshotStore, txn: str | None = None, rules_checked: bool = False
+    plan: SyncPlan,
+    payload: DataFrame | IndexedContent,
+    store: SnapshotStore,
+    txn: str | None = None,
+    rules_checked: bool = False,
 ) -> SyncResult:
     """Carry out ``plan``, reading ``payload(rel_path, content)`` only for rows that need work.
 
     The comparison and the transformed items are each written once; the outcome and the new manifest
     read them back. A run that finds nothing to do reads no content and publishes nothing. A
     transaction name (``<stream>-<batch>``) makes a repeated call a no-op. If another run has published
-    since the manifest that the plan was made from, the commit fails and nothing is published.
+    since the manifest that the plan was made from, nothing is read, or nothing is published if that
+    happens meanwhile. Converters without a function and paths with several contents are found before
+    anything is converted. The manifest and the directories are published as changes to the version before.
     """
     spark = store.spark
     if txn is not None and not re.fullmatch(r"[A-Za-z0-9_.]+-[0-9]+", txn):
@@ -270,7 +308,10 @@ def apply(
     head = store.log.head()
     if txn is not None and store.has_txn(txn):
         return SyncResult(spark.createDataFrame([], OUTCOME_SCHEMA), head["version"], False)
-    base = plan.base or (0, 0)  # a target that is no store's suits an empty store only
+    if plan.base is None and head is not None:
+        raise ValueError("the plan does not say which state of the store it was made from: give plan() base=store.state()")
+    base = plan.base or store.state()  # a target that is no store's suits a store without versions only
+    store.expect(base)
     version, run = base[0] + 1, txn or uuid.uuid4().hex
 
     diff = staged(spark, plan.diff, store.path("diff", version, run))
@@ -290,9 +331,10 @@ def apply(
     if not actions & {"convert", "copy", "delete"} and plan.creates.isEmpty() and plan.delete_dirs.isEmpty():
         return SyncResult(skipped, head["version"] if head else None, False)
 
-    tables = ["manifest", "dirs"] if beaten is None else ["manifest", "dirs", "conflicts"]
+    tables = [] if beaten is None else ["conflicts"]
     small = _small(statistics)
     if actions & {"convert", "copy"}:
+        _check_work(plan, diff, payload, statistics)
         with _small_batches(spark):
             items = staged(spark, _transformed(plan, diff, payload, statistics), store.path("items", version, run))
         gone = staged(spark, _vanished(diff, items, small), store.path("vanished", version, run))
@@ -306,24 +348,37 @@ def apply(
         outcome = skipped
         stamped = spark.createDataFrame([], STORED_MANIFEST_SCHEMA)
 
-    after = next_manifest(diff, stamped, small)
-    if plan.rest is not None:
-        after = after.unionByName(plan.rest.select(after.columns))
-    manifest = staged(spark, after, store.path("manifest", version, run))
-    next_dirs(plan, manifest, stamped).write.mode("overwrite").parquet(store.path("dirs", version, run))
+    segments = dict(head["segments"]) if head else {}
+    if head is None:
+        after = next_manifest(diff, stamped, small)
+        if plan.rest is not None:
+            after = after.unionByName(plan.rest.select(after.columns))
+        segments["manifest"] = [store.write_segment("manifest", after, version, run, -1)]
+        manifest = store.merged("manifest", segments["manifest"])
+        segments["dirs"] = [store.write_segment("dirs", next_dirs(plan, manifest, stamped), version, run, -1)]
+    else:
+        new = store.write_segment("manifest", manifest_changes(diff, stamped), version, run, 0)
+        segments["manifest"] = [*segments["manifest"], *([new] if new else [])]
+        manifest = store.merged("manifest", segments["manifest"])
+        changed = dir_changes(plan, store.merged("dirs", segments["dirs"]), manifest, stamped, small)
+        new = store.write_segment("dirs", changed, version, run, 0)
+        segments["dirs"] = [*segments["dirs"], *([new] if new else [])]
     retired_bytes = sum(row.key_bytes for row in statistics if row.reason in ("stale", "orphan"))
     if retired_bytes and "data_version" in diff.columns:
         retired = retired_content(diff, stamped, small)
         retired.write.mode("overwrite").parquet(store.path("retired", version, run))
         tables.append("retired")
-    store.commit(version, base, run=run, tables=tables, txn=txn, retired_bytes=retired_bytes)
+    txns = dict(head["txns"]) if head else {}
+    if txn is not None:
+        txns[txn.rpartition("-")[0]] = txn
+    store.commit(version, base, run=run, tables=tables, txns=txns, retired_bytes=retired_bytes, segments=segments)
     return SyncResult(outcome, version, True)
 
 
 def run_sync(
     spec: SyncSpec,
     source: DataFrame,
-    payload: DataFrame,
+    payload: DataFrame | IndexedContent,
     store: SnapshotStore,
     source_dirs: DataFrame | None = None,
     initial_target: DataFrame | None = None,

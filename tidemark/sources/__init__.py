@@ -1,13 +1,16 @@
 """Manifests, content and published snapshots."""
 
+from tidemark.sources.commits import CommitLog
+from tidemark.sources.indexed import IndexedContent
 from tidemark.sources.listing import scan_tree
 from tidemark.sources.manifests import latest_versions, manifest_from, scan_manifest
 from tidemark.sources.payloads import load_payload
 from tidemark.sources.scratch import scratch_dir
-from tidemark.sources.snapshots import CommitLog, SnapshotStore, read_snapshot, write_snapshot
+from tidemark.sources.snapshots import SnapshotStore, read_snapshot, write_snapshot
 
 __all__ = [
     "CommitLog",
+    "IndexedContent",
     "SnapshotStore",
     "latest_versions",
     "load_payload",

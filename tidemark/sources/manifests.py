@@ -41,14 +41,14 @@ def manifest_from(
 
 
 def latest_versions(manifest: DataFrame) -> DataFrame:
-    """One row per path: its newest version.
+    """One row per path: its newest version, and of several of one time the one with the largest other columns.
 
-    The aggregates all fit a hash aggregate, so a path with very many rows is folded before the shuffle.
+    A row is taken as a whole, in an order of all columns (NULL first), so the result depends on the rows only.
+    A path with very many rows is folded before the shuffle.
     """
     carried = [name for name in manifest.columns if name not in ("rel_path", "mtime")]
-    return manifest.groupBy("rel_path").agg(
-        F.max("mtime").alias("mtime"), *[F.max_by(name, "mtime").alias(name) for name in carried]
-    )
+    newest = manifest.groupBy("rel_path").agg(F.max(F.struct("mtime", *carried)).alias("_row"))
+    return newest.select(*(F.col(f"_row.{name}").alias(name) if name != "rel_path" else F.col(name) for name in manifest.columns))
 
 
 def scan_manifest(spark: SparkSession, root: str) -> DataFrame:

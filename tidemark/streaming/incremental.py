@@ -10,19 +10,22 @@ from tidemark.operators.rules import check_rules
 from tidemark.plans.execution import OUTCOME_SCHEMA, SyncResult, apply, staged
 from tidemark.plans.planning import plan
 from tidemark.plans.spec import SyncSpec
+from tidemark.sources.indexed import IndexedContent
 from tidemark.sources.manifests import latest_versions
 from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES
-from tidemark.sources.snapshots import SnapshotStore
+from tidemark.sources.snapshots import FANOUT, SnapshotStore
 
 
 def sync_batch(
-    spec: SyncSpec, changes: DataFrame, payload: DataFrame, store: SnapshotStore, txn: str, rules_checked: bool = False
+    spec: SyncSpec, changes: DataFrame, payload: DataFrame | IndexedContent, store: SnapshotStore, txn: str, rules_checked: bool = False
 ) -> SyncResult:
     """Bring the newest version of every changed path into the store.
 
     Paths that are not in the batch keep their state: a feed of changes says nothing about them, so
-    nothing is deleted. A change older than the target is skipped, so the order of batches does not
-    matter. The transaction name makes a replayed batch a no-op.
+    nothing is deleted. A change older than the target is skipped; with ``modify_window=-1`` the order of
+    batches does not matter, otherwise a change within the window of the target does not replace it. The
+    transaction name makes a replayed batch a no-op. A batch writes its own rows of the manifest only, and
+    every few batches those are merged (see ``SnapshotStore.compact``).
     """
     if store.has_txn(txn):
         return SyncResult(store.spark.createDataFrame([], OUTCOME_SCHEMA), store.log.head()["version"], False)
@@ -38,11 +41,14 @@ def sync_batch(
         prunes=False,
         few_changes=key_bytes <= MAX_BROADCAST_KEY_BYTES,
     )
-    return apply(intended, payload, store, txn, rules_checked)
+    result = apply(intended, payload, store, txn, rules_checked)
+    if result.published and max(map(len, store.segments().values())) > FANOUT:
+        store.compact()
+    return result
 
 
 def sync_stream(
-    spec: SyncSpec, feed: DataFrame, payload: DataFrame, store: SnapshotStore, checkpoint: str, name: str = "feed"
+    spec: SyncSpec, feed: DataFrame, payload: DataFrame | IndexedContent, store: SnapshotStore, checkpoint: str, name: str = "feed"
 ) -> StreamingQuery:
     """Start a query that takes in what a streaming manifest ``feed`` has to offer, then stops.
 
