@@ -157,3 +157,70 @@ def test_scratch_is_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_dir(spark), scratch_dir(spark)
     assert first.startswith(shared) and first != second
+
+
+def test_links_of_a_tree(spark, tree):
+    from tidemark.sources import list_tree
+
+    elsewhere = tree.parent / "elsewhere"
+    elsewhere.mkdir()
+    (elsewhere / "x.txt").write_text("linked")
+    os.symlink(elsewhere, tree / "d" / "there")
+    os.symlink(tree / "a.txt", tree / "d" / "alias.txt")
+    os.symlink(tree, tree / "d" / "e" / "up")
+    os.symlink(tree / "none", tree / "gone")
+    plain = [".hidden", "a.txt", "d/_part", "d/alias.txt", "d/b c.txt", "d/e/ü.bin"]
+    found = list_tree(spark, str(tree))
+    assert paths_of(found.files) == sorted([*plain, "d/there/x.txt"]) and "d/there" in paths_of(found.dirs, "path")
+    reasons = {"d/e/up": "link to a directory above", "gone": "link to nothing"}
+    assert {r.path: r.reason for r in found.skipped.collect()} == reasons
+    assert found.files.filter("rel_path = 'd/alias.txt'").first()["size"] == 3
+    kept = list_tree(spark, str(tree), follow_links=False)
+    assert paths_of(kept.files) == sorted(plain)
+    assert {r.path: r.reason for r in kept.skipped.collect()} == reasons | {"d/there": "link to a directory", "d/e/up": "link to a directory above"}
+
+
+def test_large_directories_are_looked_at_by_many_tasks(spark, tmp_path, monkeypatch):
+    from tidemark.sources import listing
+
+    for n in range(40):
+        (tmp_path / "big" / f"s{n % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "big" / f"f{n}").write_text("x" * n)
+    whole = [sorted(map(tuple, part.collect())) for part in scan_tree(spark, str(tmp_path / "big"))]
+    monkeypatch.setattr(listing, "LOOKED_AT", 3)
+    assert [sorted(map(tuple, part.collect())) for part in scan_tree(spark, str(tmp_path / "big"))] == whole and len(whole[0]) == 40
+
+
+def test_content_of_a_tree_is_opened_for_work_only(spark, store, tree):
+    from tests.helpers import contents, statuses
+    from tests.test_run import spec
+    from tidemark import TreeContent, run_sync
+
+    files, dirs = scan_tree(spark, str(tree))
+    for name in ("a.txt", "d/_part"):  # up to date or excluded: nobody may open them
+        (tree / name).unlink()
+        (tree / name).mkdir()
+    os.unlink(tree / "d" / "e" / "ü.bin")
+    fresh = files.filter("rel_path = 'a.txt'")
+    result = run_sync(spec(spark, source_exclude=("*_part",)), files, TreeContent(f"file:{tree}"), store, dirs, initial_target=fresh)
+    assert statuses(result) == {"a.txt": "skipped", ".hidden": "ok", "d/b c.txt": "ok", "d/e/ü.bin": "vanished"}
+    assert contents(store) == {".hidden": b"h", "d/b c.txt": b"three"}
+    work = spark.createDataFrame([("../tree 1%/.hidden",), ("/etc/hostname",), ("",), (None,), ("d",)], "rel_path string")
+    assert load_payload(TreeContent(str(tree)), work).isEmpty()
+
+
+def test_a_tree_is_written_from_a_table(spark, tmp_path):
+    from tidemark import TreeContent, write_tree
+
+    root = tmp_path / "out"
+    rows = [("a/b.txt", b"1", 0o600), ("c", None, 0o644), ("../x", b"2", None), (None, b"3", None)]
+    df = spark.createDataFrame([(p, bytearray(c) if c else None, m) for p, c, m in rows], "rel_path string, content binary, mode int")
+    df = df.withColumn("mtime", F.timestamp_micros(F.lit(1_704_067_200_123_456)))
+    for _ in range(2):
+        assert {(r.rel_path, r.status) for r in write_tree(df, str(root), tasks=2).collect()} == {("a/b.txt", "ok"), ("c", "ok"), ("../x", "outside"), (None, "outside")}
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*")) == ["out", "out/a", "out/a/b.txt", "out/c"]
+    found, _ = scan_tree(spark, str(root))
+    row = found.filter("rel_path = 'a/b.txt'").select(F.unix_micros("mtime").alias("us"), "mode", "size").first()
+    assert tuple(row) == (1_704_067_200_123_456, 0o600, 1)
+    read = load_payload(TreeContent(f"file://{root}"), found.select("rel_path"))
+    assert {r.rel_path: bytes(r.content) for r in read.collect()} == {"a/b.txt": b"1", "c": b""}

@@ -225,8 +225,10 @@ def test_what_cannot_succeed_fails_before_any_converter(spark, store):
 def test_versions_of_one_time_have_one_order(spark):
     from tidemark.sources import latest_versions
 
-    rows = [("a", 5, None, 9), ("a", 5, 1, None), ("a", 5, 1, 3), ("b", None, 2, 2), ("b", 1, None, None)]
-    for order in (rows, rows[::-1]):
-        df = spark.createDataFrame(order, "rel_path string, t long, size long, mode int").withColumn("mtime", F.timestamp_seconds("t")).drop("t")
-        found = {r.rel_path: (r["size"], r["mode"]) for r in latest_versions(df).collect()}
-        assert found == {"a": (1, 3), "b": (None, None)}
+    rows = [("a", 5, None, 9), ("a", 5, 1, None), ("a", 5, 1, 3), ("a", 4, 7, 7), ("b", None, 2, 2), ("b", 1, None, None), ("c", None, 1, 1)]
+    results = []
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, "rel_path string, t long, size long, mode int").withColumn("mtime", F.timestamp_seconds("t")).drop("t").coalesce(1)
+        results.append({r.rel_path: (r["size"], r["mode"]) for r in latest_versions(df).collect()})
+    assert results[0] == results[1] == results[2]
+    assert results[0]["a"] in {(None, 9), (1, None), (1, 3)} and results[0]["b"] == (None, None) and results[0]["c"] == (1, 1)

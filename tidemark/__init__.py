@@ -6,16 +6,18 @@ deletes what differs and publishes the result as a new snapshot.
 
 from tidemark.operators import Converters, Rules
 from tidemark.plans import SyncPlan, SyncResult, SyncSpec, apply, plan, run_sync
-from tidemark.sources import SnapshotStore, manifest_from, scan_manifest, scan_tree
+from tidemark.sources import IndexedContent, SnapshotStore, TreeContent, manifest_from, scan_manifest, scan_tree, write_tree
 from tidemark.streaming import sync_stream
 
 __all__ = [
     "Converters",
+    "IndexedContent",
     "Rules",
     "SnapshotStore",
     "SyncPlan",
     "SyncResult",
     "SyncSpec",
+    "TreeContent",
     "apply",
     "manifest_from",
     "plan",
@@ -23,4 +25,5 @@ __all__ = [
     "scan_manifest",
     "scan_tree",
     "sync_stream",
+    "write_tree",
 ]

@@ -18,8 +18,8 @@ from tidemark.operators.directories import parent_dirs, with_ancestors
 from tidemark.operators.rules import RuleError, check_rules
 from tidemark.plans.planning import SyncPlan, plan
 from tidemark.plans.spec import SyncSpec
-from tidemark.sources.indexed import IndexedContent
-from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES, load_payload, repeated_content
+from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES, Payload, load_payload, repeated_content
+from tidemark.sources.trees import TreeContent
 from tidemark.sources.snapshots import STORED_MANIFEST_SCHEMA, SnapshotStore
 
 #: content and items per task, and content per Arrow batch of the Python converters
@@ -111,7 +111,7 @@ def _tasks(spark: SparkSession, rows: list[Row]) -> int:
     return max(spark.sparkContext.defaultParallelism, min(wanted, MAX_TASKS))
 
 
-def _check_work(plan: SyncPlan, diff: DataFrame, payload: DataFrame | IndexedContent, statistics: list[Row]) -> None:
+def _check_work(plan: SyncPlan, diff: DataFrame, payload: Payload, statistics: list[Row]) -> None:
     """Raise for what would make the run fail after all converters have worked."""
     spec, worked = plan.spec, diff.filter(F.col("action").isin("convert", "copy"))
     for kind, known in (("expression", spec.converters.expressions), ("udf", spec.converters.udfs)):
@@ -124,7 +124,7 @@ def _check_work(plan: SyncPlan, diff: DataFrame, payload: DataFrame | IndexedCon
         raise PayloadError("a path has more than one content: " + ", ".join(sorted(row.rel_path for row in shown)))
 
 
-def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame | IndexedContent, statistics: list[Row]) -> DataFrame:
+def _transformed(plan: SyncPlan, diff: DataFrame, payload: Payload, statistics: list[Row]) -> DataFrame:
     """The worked items with their content."""
     spec, spark = plan.spec, diff.sparkSession
     work = diff.filter(F.col("action").isin("convert", "copy")).select(
@@ -142,7 +142,7 @@ def _transformed(plan: SyncPlan, diff: DataFrame, payload: DataFrame | IndexedCo
     if in_workers:
         key_bytes, tasks = sum(row.key_bytes for row in in_workers), _tasks(spark, in_workers)
         loaded = load_payload(payload, work.filter(python_kind), key_bytes, tasks)
-        if key_bytes <= MAX_BROADCAST_KEY_BYTES:
+        if key_bytes <= MAX_BROADCAST_KEY_BYTES and not isinstance(payload, TreeContent):
             # the content sits where it was read; spread the work
             loaded = loaded.repartition(tasks, "rel_path")
         parts.append(
@@ -286,7 +286,7 @@ def dir_changes(plan: SyncPlan, before: DataFrame, manifest: DataFrame, stamped:
 
 def apply(
     plan: SyncPlan,
-    payload: DataFrame | IndexedContent,
+    payload: Payload,
     store: SnapshotStore,
     txn: str | None = None,
     rules_checked: bool = False,
@@ -378,7 +378,7 @@ def apply(
 def run_sync(
     spec: SyncSpec,
     source: DataFrame,
-    payload: DataFrame | IndexedContent,
+    payload: Payload,
     store: SnapshotStore,
     source_dirs: DataFrame | None = None,
     initial_target: DataFrame | None = None,

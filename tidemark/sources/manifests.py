@@ -41,14 +41,22 @@ def manifest_from(
 
 
 def latest_versions(manifest: DataFrame) -> DataFrame:
-    """One row per path: its newest version, and of several of one time the one with the largest other columns.
+    """One row per path: its newest version, and of several of one time the one with the largest hash of its columns.
 
-    A row is taken as a whole, in an order of all columns (NULL first), so the result depends on the rows only.
-    A path with very many rows is folded before the shuffle.
+    A row is taken as a whole, and which one depends on the rows only. The aggregates all fit a hash aggregate, so
+    a path with very many rows is folded before the shuffle.
     """
     carried = [name for name in manifest.columns if name not in ("rel_path", "mtime")]
-    newest = manifest.groupBy("rel_path").agg(F.max(F.struct("mtime", *carried)).alias("_row"))
-    return newest.select(*(F.col(f"_row.{name}").alias(name) if name != "rel_path" else F.col(name) for name in manifest.columns))
+    # time first, then 62 bits of hash, in one number; a version without a time comes before all others
+    span = F.lit(1 << 62).cast("decimal(19,0)")
+    time = F.coalesce(F.unix_micros("mtime"), F.lit(-(1 << 63))).cast("decimal(19,0)")
+    tie = F.shiftrightunsigned(F.xxhash64(*carried) if carried else F.lit(0).cast("bigint"), 2)
+    order = (time * span + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
+    ordered = manifest.withColumn("_order", order)
+    newest = ordered.groupBy("rel_path").agg(
+        F.max("mtime").alias("mtime"), *[F.max_by(name, "_order").alias(name) for name in carried]
+    )
+    return newest.select(manifest.columns)
 
 
 def scan_manifest(spark: SparkSession, root: str) -> DataFrame:

@@ -10,14 +10,13 @@ from tidemark.operators.rules import check_rules
 from tidemark.plans.execution import OUTCOME_SCHEMA, SyncResult, apply, staged
 from tidemark.plans.planning import plan
 from tidemark.plans.spec import SyncSpec
-from tidemark.sources.indexed import IndexedContent
 from tidemark.sources.manifests import latest_versions
-from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES
+from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES, Payload
 from tidemark.sources.snapshots import FANOUT, SnapshotStore
 
 
 def sync_batch(
-    spec: SyncSpec, changes: DataFrame, payload: DataFrame | IndexedContent, store: SnapshotStore, txn: str, rules_checked: bool = False
+    spec: SyncSpec, changes: DataFrame, payload: Payload, store: SnapshotStore, txn: str, rules_checked: bool = False
 ) -> SyncResult:
     """Bring the newest version of every changed path into the store.
 
@@ -48,7 +47,7 @@ def sync_batch(
 
 
 def sync_stream(
-    spec: SyncSpec, feed: DataFrame, payload: DataFrame | IndexedContent, store: SnapshotStore, checkpoint: str, name: str = "feed"
+    spec: SyncSpec, feed: DataFrame, payload: Payload, store: SnapshotStore, checkpoint: str, name: str = "feed"
 ) -> StreamingQuery:
     """Start a query that takes in what a streaming manifest ``feed`` has to offer, then stops.
 

@@ -330,6 +330,15 @@ from ranked""",
     "template_errors": TEMPLATE_ERRORS,
     "rule_errors": RULE_ERRORS,
     "payload_for_work": f"with {plan_rows(0)} select rel_path, action, md5(text) as digest from acted where action <> 'skip'",
+    "indexed_payload": f"with {plan_rows(0)} select rel_path, action, md5(text) as digest from acted where action <> 'skip'",
+    "tree_to_content": f"select rel_path, mtime_us, size, digest from ({written(TEXT_OUTPUT)})",
+    "incremental_content": f"""with {SOURCE},
+made as (select *, case when size > 1000 then 'second ' || text else text end as content from src)
+select rel_path, us + case when size > 1000 then 3600000000 else 0 end as mtime_us,
+  octet_length(encode(content)) as size, mode, md5(content) as digest from made""",
+    "compacted_manifest": f"""with {SOURCE}
+select rel_path, us + 3600000000 as mtime_us, octet_length(encode(text)) as size, 2::bigint as data_version
+from src where size <= 1000""",
     "convert_text": written(TEXT_OUTPUT),
     "convert_udf": written("""case when action = 'copy' then text when converter = 'opus' then sha256(text)
     when converter = 'jpg' then octet_length(encode(text))::varchar else md5(text) end"""),

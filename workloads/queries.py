@@ -51,7 +51,9 @@ from tidemark.operators import (
 )
 from tidemark.plans import SyncSpec, plan, run_sync
 from tidemark.sources import (
+    IndexedContent,
     SnapshotStore,
+    TreeContent,
     load_payload,
     manifest_from,
     read_snapshot,
@@ -59,8 +61,9 @@ from tidemark.sources import (
     scan_tree,
     scratch_dir,
     write_snapshot,
+    write_tree,
 )
-from tidemark.streaming import sync_stream
+from tidemark.streaming import sync_batch, sync_stream
 from workloads import frames
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -421,6 +424,30 @@ def payload_for_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.select("rel_path", "action", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
+@query("indexed_payload")
+def indexed_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, looked up in content with an index."""
+    content = IndexedContent(spark, scratch_dir(spark, "indexed"))
+    content.add(frames.doc_payload(spark, sf_dir), file_bytes=4 << 20)
+    work = classify(frames.doc_work(spark, sf_dir), frames.doc_target(spark, sf_dir)).filter("action <> 'skip'")
+    key_bytes = work.agg(F.coalesce(F.sum(F.octet_length("rel_path")), F.lit(0))).first()[0]
+    return load_payload(content, work, key_bytes).select("rel_path", "action", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query("tree_to_content")
+def tree_to_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: listed by the executors, compared, and opened by the tasks that convert them."""
+    root = scratch_dir(spark, "files")
+    statuses = write_tree(frames.documents(spark, sf_dir).drop("mode"), root).groupBy("status").count().collect()
+    if [row.status for row in statuses] != ["ok"]:
+        raise ValueError(f"not all documents could be written: {statuses}")
+    files, dirs = scan_tree(spark, root)
+    store = SnapshotStore(spark, scratch_dir(spark, "store"))
+    spec = doc_spec(spark, frames.text_converters())
+    run_sync(spec, files, TreeContent(root), store, source_dirs=dirs, initial_target=frames.doc_target(spark, sf_dir))
+    return _written(store).drop("mode")
+
+
 @query("copied_items")
 def copied_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New and stale documents without a converter, content as it is."""
@@ -557,6 +584,34 @@ def snapshot_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_snapshot(spark, base).select("rel_path", F.unix_micros("mtime").alias("mtime_us"), "size", "mode")
 
 
+@query("incremental_content")
+def incremental_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, then new versions of the long ones, then old versions of all: changes, merged and cleaned up."""
+    docs = frames.documents(spark, sf_dir).select(*frames.MANIFEST, "content")
+    hour = F.expr("interval 1 hour")
+    newer = docs.filter("size > 1000").withColumns({"mtime": F.col("mtime") + hour, "content": F.concat(F.lit("second "), "content")})
+    older = docs.withColumns({"mtime": F.col("mtime") - hour, "content": F.lit("too late")})
+    spec = SyncSpec(rules=Converters().rules(spark, []), modify_window=-1)
+    store = SnapshotStore(spark, scratch_dir(spark, "changes"))
+    for number, batch in enumerate((docs, newer, older)):
+        sync_batch(spec, batch.drop("content"), batch.select("rel_path", "content"), store, f"documents-{number}")
+    store.compact(full=True)
+    store.vacuum(min_age_seconds=0)
+    return _written(store)
+
+
+@query("compacted_manifest")
+def compacted_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest after the same batches, read as a base with changes."""
+    docs = frames.doc_source(spark, sf_dir)
+    spec = SyncSpec(rules=Converters().rules(spark, []), modify_window=-1)
+    store = SnapshotStore(spark, scratch_dir(spark, "changes"))
+    content = frames.doc_payload(spark, sf_dir)
+    run_sync(spec, docs, content, store)
+    run_sync(spec, docs.filter("size <= 1000").withColumn("mtime", F.col("mtime") + F.expr("interval 1 hour")), content, store)
+    return store.manifest().select("rel_path", F.unix_micros("mtime").alias("mtime_us"), "size", "data_version")
+
+
 @query("incremental")
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a feed of versions, taken in by two incremental runs."""
