@@ -109,7 +109,10 @@ def test_token_files(spark, docs):
 def test_codes_of_any_size():
     ids = np.array([0, 255, 256, 65535, 65536, 2**32 - 1] * 700, np.uint32)
     places = np.random.default_rng(0).integers(0, len(ids), 1000)
-    assert (token_files.Codes.build(ids).get(places) == ids[places]).all()
+    codes = token_files.Codes.build(ids)
+    assert (codes.get(places) == ids[places]).all()
+    for start, stop in [(0, len(ids)), (0, 0), (len(ids), len(ids)), (3, 4), *np.sort(places[:40].reshape(-1, 2), axis=1).tolist()]:
+        assert (codes.run(start, stop) == ids[start:stop]).all()
 
 
 def test_simhash(docs):

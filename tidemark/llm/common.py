@@ -54,8 +54,10 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, col
 
 def gather_ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of values[starts[i] : starts[i] + lengths[i]]."""
-    before = np.cumsum(lengths) - lengths
-    return values[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+    total = int(lengths.sum(dtype=np.int64))
+    kind = np.int32 if total < 1 << 31 and len(values) < 1 << 31 else np.int64
+    before = np.cumsum(lengths, dtype=kind) - lengths.astype(kind)
+    return values[np.repeat(starts.astype(kind) - before, lengths) + np.arange(total, dtype=kind)]
 
 
 def binary_views(array: pa.Array) -> tuple[memoryview, np.ndarray]:

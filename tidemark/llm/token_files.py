@@ -22,9 +22,10 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import word_bpe
-from tidemark.llm.common import text_slices
+from tidemark.llm.common import binary_views, small_batches, text_slices
 from tidemark.llm.packing import ENCODE_BYTES
 
 MAGIC = b"TMDAC001"
@@ -71,6 +72,21 @@ class Codes:
             at, shift = self._rank(words, directory, at[go]), shift + width
         return out
 
+    def run(self, start: int, stop: int) -> np.ndarray:
+        """The ids of positions that follow each other: a slice of each level, which begins at a rank."""
+        out = np.zeros(stop - start, np.uint32)
+        which, shift = slice(None), 0
+        for (chunks, words, directory), width in zip(self.levels, WIDTHS):
+            out[which] |= chunks[start:stop].astype(np.uint32) << np.uint32(shift)
+            bits = np.unpackbits(words.view(np.uint8)[start >> 3 : (stop + 7) >> 3], bitorder="little")
+            go = np.flatnonzero(bits[start & 7 :][: stop - start])
+            if not len(go):
+                break
+            which = go if isinstance(which, slice) else which[go]
+            start = int(self._rank(words, directory, np.array([start]))[0])
+            stop, shift = start + len(go), shift + width
+        return out
+
     @staticmethod
     def _rank(words: np.ndarray, directory: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The set bits before each position."""
@@ -108,7 +124,7 @@ class Shard:
         self.codes = Codes([tuple(parts[f"{what}{n}"] for what in ("chunks", "bits", "ranks")) for n in range(levels)])
 
     def ids(self, document: int) -> np.ndarray:
-        return self.codes.get(np.arange(self.starts[document], self.starts[document + 1]))
+        return self.codes.run(int(self.starts[document]), int(self.starts[document + 1]))
 
 
 def put_file(path: str, parts: list[bytes]) -> None:
@@ -128,21 +144,44 @@ def files_apart(manifest: DataFrame) -> int:
     return max(1, min(manifest.count(), 8192))
 
 
+def range_bounds(df: DataFrame, column: str, parts: int) -> np.ndarray:
+    """Up to parts - 1 values that deal the rows out evenly by a long column, from a sketch of that column alone."""
+    shares = [n / parts for n in range(1, parts)]
+    if not shares:
+        return np.zeros(0, np.int64)
+    found = df.agg(F.percentile_approx(column, shares, max(10_000, 10 * parts)).alias("bounds")).first()["bounds"]
+    return np.array(found or [], np.int64)
+
+
 def write_tokens(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> None:
     """Encodes every whole text and writes shards below path, in ascending order of the document id.
 
     NULL ids come first; rows with equal ids are ordered by a hash of their text. A NULL or empty text has the
-    end id alone. Texts, not ids, are shuffled once by range; a task cuts its range into shards of bounded
-    size. The list of shards is a table at path/manifest, written by the same job.
+    end id alone. Texts are encoded where they are read, and the ids, which take less room, are shuffled once to
+    ranges of document ids; a task cuts its range into shards of bounded size. The list of shards is a table at
+    path/manifest, written by the same job.
     """
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    ordered = narrow.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(narrow, "id", parts)
+    kind = np.dtype("<u2") if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id or 0) <= 1 << 16 else np.dtype("<u4")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe.coder(tokenizer)
+        for rows, data, offsets in text_slices(batches, ENCODE_BYTES):
+            ids, at = bpe.encode(data, offsets)
+            if end_id is not None:
+                ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+            column = rows.column("id")
+            # equal ids meet in one range; what is before all bounds, NULL too, in the first
+            part = np.searchsorted(bounds, column.fill_null(np.iinfo(np.int64).min).to_numpy(), "left")
+            raw = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * kind.itemsize), pa.py_buffer(ids.astype(kind))])
+            yield pa.RecordBatch.from_arrays([column, rows.column("tie"), pa.array(part, pa.int32()), raw.cast(pa.binary())], names=["id", "tie", "part", "ids"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        count = 0
+        count = number = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal count, number
@@ -155,20 +194,22 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id
             count, number = 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["name", "part", "number", "n_docs", "n_tokens"])
 
-        number = 0
-        for rows, data, offsets in text_slices(batches, ENCODE_BYTES):
-            ids, at = bpe.encode(data, offsets)
-            if end_id is not None:
-                ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
-            column = rows.column("id")
-            held.append((column.fill_null(0).to_numpy(), ~column.is_null().to_numpy(zero_copy_only=False), np.diff(at), ids))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column, (view, offsets) = batch.column("id"), binary_views(batch.column("ids").cast(pa.large_binary()))
+            offsets = offsets // kind.itemsize
+            ids = np.frombuffer(view, kind)[offsets[0] : offsets[-1]] if len(view) else np.zeros(0, kind)
+            held.append((column.fill_null(0).to_numpy(), ~column.is_null().to_numpy(zero_copy_only=False), np.diff(offsets), ids.copy()))
             count += len(ids)
             if count >= SHARD_TOKENS:
                 yield flush()
         if held:
             yield flush()
 
-    ordered.mapInArrow(run, "name string, part long, number long, n_docs long, n_tokens long").write.parquet(f"{path}/manifest")
+    coded = small_batches(narrow).mapInArrow(encode, "id long, tie long, part int, ids binary")
+    ordered = coded.repartitionById(parts, "part").sortWithinPartitions("id", "tie").select("id", "ids")
+    ordered.mapInArrow(write, "name string, part long, number long, n_docs long, n_tokens long").write.parquet(f"{path}/manifest")
 
 
 def read_tokens(spark: SparkSession, path: str, outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
@@ -176,10 +217,13 @@ def read_tokens(spark: SparkSession, path: str, outputs: tuple[str, ...] = ("ids
 
     Outputs: ``ids`` and ``ids_crc32`` (of the ids as little-endian unsigned 32-bit numbers).
     """
-    # one narrow row for each shard, that is for some million ids
     shards = spark.read.parquet(f"{path}/manifest")
-    base = F.sum("n_tokens").over(Window.orderBy("part", "number")) - F.col("n_tokens")
-    listed = shards.select("name", base.alias("base")).repartition(files_apart(shards))
+    # one row for each range, then the shards of a range
+    ranges = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    ranges = ranges.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("n_tokens")
+    listed = shards.withColumn("inside", inside).join(ranges, "part").select("name", (F.col("before") + F.col("inside")).alias("base"))
+    listed = listed.repartition(files_apart(shards))
     kinds = {"ids": "array<long>", "ids_crc32": "long"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +235,7 @@ def read_tokens(spark: SparkSession, path: str, outputs: tuple[str, ...] = ("ids
             while at < len(shard.doc_ids):
                 to = max(at + 1, int(np.searchsorted(shard.starts, shard.starts[at] + READ_TOKENS, "right")) - 1)
                 starts = shard.starts[at : to + 1]
-                ids = shard.codes.get(np.arange(starts[0], starts[-1])).astype("<u4")
+                ids = shard.codes.run(int(starts[0]), int(starts[-1])).astype("<u4")
                 out = [pa.array(shard.doc_ids[at:to], mask=shard.known[at:to] == 0), pa.array(starts[:-1] + before), pa.array(np.diff(starts))]
                 if "ids" in outputs:
                     out.append(pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), pa.array(ids.astype(np.int64))))
