@@ -2,6 +2,19 @@
 
 from __future__ import annotations
 
+#: Payloads as they are written; equal ones of at least 1000 bytes are revisits of the last page that has them.
+OP10 = """
+WITH raw AS (
+    SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS size FROM pages
+), last AS (
+    SELECT *, max(page_id) OVER (PARTITION BY html) AS origin FROM raw
+)
+SELECT page_id, size::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+    CASE WHEN size >= 1000 AND page_id <> origin THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN size >= 1000 AND page_id <> origin THEN origin END AS refers_to
+FROM last
+"""
+
 #: Every order of the filters is a row of (order, step, filter, the filters before it); a part's documents are
 #: counted by the set of filters that they fail, and each step sums over those sets.
 OP12 = r"""
@@ -84,4 +97,4 @@ FROM facts f JOIN below b ON b.d = f.d AND b.p = f.p
 LEFT JOIN nodes up ON up.d = f.d - 1 AND up.p = f.p[1:f.d - 1]
 """
 
-ORACLES = {"op12_filter_audit": OP12, "op13_prefix_trie": OP13}
+ORACLES = {"op10_warc": OP10, "op12_filter_audit": OP12, "op13_prefix_trie": OP13}
