@@ -20,20 +20,18 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near fingerprints, the document with the smallest id.
+    """Keeps, of each group of near fingerprints, the row with the smallest id, the first of several with that id.
 
-    Rows that repeat an id are one document, which stays if it is the first of any group, as one of its rows;
-    so are rows with a NULL id.
+    Rows are judged one by one: rows that repeat an id with another text are documents of their own, and so are
+    rows with a NULL id, which stay only in groups without an id. The rows are numbered and written once, so that
+    their numbers can't change while they are compared.
     """
-    groups = simhash.near_duplicates(docs)
-    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    judged = scratch_table(groups.groupBy("doc_id").agg(stays.alias("stays"), F.count("*").alias("n")), "judged")
-    # the ids grow with the documents: never broadcast, so the join is the same at every size, and texts aren't sorted
-    gone = judged.where("not stays").select(F.col("doc_id").alias("gone")).hint("shuffle_hash")
-    kept = docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    if not judged.where("stays and n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    numbered = scratch_table(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")
+    groups = simhash.near_duplicates(numbered.select(row.alias("row"), "text"), id_col="row")
+    stays = groups.where(F.col("row") == F.col("component_id")).select("row._row")
+    # the numbers grow with the documents: never broadcast, so the join is the same at every size, and texts aren't sorted
+    return numbered.join(stays.hint("shuffle_hash"), "_row", "left_semi").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +51,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The stages' models, hashes and tokenizer are beyond SQL; tests hold run() against a brute-force version.
+#: The stages' models, hashes and tokenizer are beyond SQL; a test holds run() against plain Python on a small table.
 ORACLE_SQL = None
 
 
