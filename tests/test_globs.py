@@ -83,3 +83,37 @@ def test_simple_patterns_need_no_regex(spark):
     text = frame.filter(matches_glob("p", ["*.log", "tmp*", "*x*", "a/b"]))._jdf.queryExecution().toString()
     assert "RLIKE" not in text.upper()
     assert all(test in text for test in ("EndsWith", "StartsWith", "Contains"))
+
+
+def test_many_globs_agree_with_each_of_them(spark):
+    import random
+
+    from tidemark.functions.globs import MANY, GlobIndex, compile_globs, glob_regex, required_literal
+
+    rng = random.Random(9)
+
+    def word():
+        return "".join(rng.choice("abcé.") for _ in range(rng.randrange(1, 5)))
+
+    shapes = ["{0}", "*{0}", "{0}*", "*{0}*", "{0}/?{1}", "*/{0}[a-c]{1}", "{{{0},{1}}}*x", "**/{0}", "{0}/**/{1}*", "\\*{0}", "?"]
+    globs = [rng.choice(shapes).format(word(), word()) for _ in range(400)]
+    paths = ["/".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(600)] + ["", "*ab", "x", "line\n", None]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert len(globs) > MANY
+    for some in (globs, [g for g in globs if g != "?"][:90]):
+        regexes = [re.compile(rf"(?s)\A(?:{glob_regex(g)})\Z") for g in some]
+        want = [None if p is None else any(r.match(p) for r in regexes) for p in paths]
+        found = [row.m for row in df.select(matches_glob("p", some).alias("m")).collect()]
+        assert [bool(m) for m in found] == [bool(m) for m in want]
+    for g in globs:
+        literal = required_literal(g)
+        assert all(literal in p for p in paths if p and re.match(rf"(?s)\A(?:{glob_regex(g)})\Z", p))
+    index = GlobIndex(compile_globs([f"*dir{n}/*.part?" for n in range(5000)]))
+    assert index.matches("a/dir4999/x.part1") and not index.matches("a/dir5000/x.part1") and index.always is None
+    assert max(map(len, index.by_gram.values())) < 1200
+
+
+def test_plain_globs_need_no_python(spark):
+    df = spark.range(10).selectExpr("cast(id as string) p")
+    plan = df.where(matches_glob("p", [f"*.e{n}" for n in range(300)] + [f"d{n}/*" for n in range(300)] + ["x"]))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "RLIKE" not in plan.upper() and "INSET" in plan

@@ -5,12 +5,13 @@ deletes what differs and publishes the result as a new snapshot.
 """
 
 from tidemark.operators import Converters, Rules
-from tidemark.plans import SyncPlan, SyncResult, SyncSpec, apply, plan, run_sync
-from tidemark.sources import IndexedContent, SnapshotStore, TreeContent, manifest_from, scan_manifest, scan_tree, write_tree
+from tidemark.plans import SyncPlan, SyncResult, SyncSpec, apply, plan, run_digested, run_sync
+from tidemark.sources import DigestedManifest, IndexedContent, SnapshotStore, TreeContent, manifest_from, scan_manifest, scan_tree, write_tree
 from tidemark.streaming import sync_stream
 
 __all__ = [
     "Converters",
+    "DigestedManifest",
     "IndexedContent",
     "Rules",
     "SnapshotStore",
@@ -21,6 +22,7 @@ __all__ = [
     "apply",
     "manifest_from",
     "plan",
+    "run_digested",
     "run_sync",
     "scan_manifest",
     "scan_tree",

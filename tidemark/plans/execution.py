@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -20,7 +20,7 @@ from tidemark.plans.planning import SyncPlan, plan
 from tidemark.plans.spec import SyncSpec
 from tidemark.sources.payloads import MAX_BROADCAST_KEY_BYTES, Payload, load_payload, repeated_content
 from tidemark.sources.trees import TreeContent
-from tidemark.sources.snapshots import STORED_MANIFEST_SCHEMA, SnapshotStore
+from tidemark.sources.snapshots import STATE, STORED_MANIFEST_SCHEMA, SnapshotStore
 
 #: content and items per task, and content per Arrow batch of the Python converters
 PARTITION_BYTES = 128 << 20
@@ -290,6 +290,7 @@ def apply(
     store: SnapshotStore,
     txn: str | None = None,
     rules_checked: bool = False,
+    settled: Callable[[DataFrame], dict] | None = None,
 ) -> SyncResult:
     """Carry out ``plan``, reading ``payload(rel_path, content)`` only for rows that need work.
 
@@ -299,6 +300,8 @@ def apply(
     since the manifest that the plan was made from, nothing is read, or nothing is published if that
     happens meanwhile. Converters without a function and paths with several contents are found before
     anything is converted. The manifest and the directories are published as changes to the version before.
+    ``settled`` is told the outcome and gives the segment of digests to publish with it, also if nothing else
+    has to be.
     """
     spark = store.spark
     if txn is not None and not re.fullmatch(r"[A-Za-z0-9_.]+-[0-9]+", txn):
@@ -329,7 +332,11 @@ def apply(
 
     actions = {row.action for row in statistics}
     if not actions & {"convert", "copy", "delete"} and plan.creates.isEmpty() and plan.delete_dirs.isEmpty():
-        return SyncResult(skipped, head["version"] if head else None, False)
+        if settled is None or head is None:
+            return SyncResult(skipped, head["version"] if head else None, False)
+        segments = {**head["segments"], "digests": [settled(skipped)]}
+        store.commit(version, base, run=run, tables=[], txns=head["txns"], segments=segments)
+        return SyncResult(skipped, version, True)
 
     tables = [] if beaten is None else ["conflicts"]
     small = _small(statistics)
@@ -348,7 +355,7 @@ def apply(
         outcome = skipped
         stamped = spark.createDataFrame([], STORED_MANIFEST_SCHEMA)
 
-    segments = dict(head["segments"]) if head else {}
+    segments = {table: head["segments"][table] for table in STATE} if head else {}
     if head is None:
         after = next_manifest(diff, stamped, small)
         if plan.rest is not None:
@@ -368,6 +375,8 @@ def apply(
         retired = retired_content(diff, stamped, small)
         retired.write.mode("overwrite").parquet(store.path("retired", version, run))
         tables.append("retired")
+    if settled is not None:
+        segments["digests"] = [settled(outcome)]
     txns = dict(head["txns"]) if head else {}
     if txn is not None:
         txns[txn.rpartition("-")[0]] = txn

@@ -1,6 +1,7 @@
 """Manifests, content and published snapshots."""
 
 from tidemark.sources.commits import CommitLog
+from tidemark.sources.digests import DigestedManifest
 from tidemark.sources.indexed import IndexedContent
 from tidemark.sources.listing import Tree, list_tree, scan_tree
 from tidemark.sources.manifests import latest_versions, manifest_from, scan_manifest
@@ -11,6 +12,7 @@ from tidemark.sources.snapshots import SnapshotStore, read_snapshot, write_snaps
 
 __all__ = [
     "CommitLog",
+    "DigestedManifest",
     "IndexedContent",
     "SnapshotStore",
     "Tree",

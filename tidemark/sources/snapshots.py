@@ -26,7 +26,7 @@ STORED_MANIFEST_SCHEMA = MANIFEST_SCHEMA + ", data_version bigint"
 #: the tables of a state: their key and schema
 STATE = {"manifest": ("rel_path", STORED_MANIFEST_SCHEMA), "dirs": ("path", "path string")}
 #: all other tables of a version
-RUN_TABLES = ("items", "vanished", "conflicts", "retired", "diff", "known", "changes")
+RUN_TABLES = ("items", "vanished", "conflicts", "retired", "diff", "known", "changes", "digests")
 #: so many change sets of one level are merged into one of the next
 FANOUT = 8
 #: changes that amount to this share of the base are merged into it
@@ -63,7 +63,8 @@ class SnapshotStore:
 
     Tables of a run: ``items`` (content and outcome of worked items), ``vanished`` (items whose source was gone),
     ``conflicts`` (items that lost their target to another), ``retired`` (replaced or deleted content), ``diff`` (the
-    comparison a run acted on), ``known`` (the source's directories) and, for feeds, ``changes``.
+    comparison a run acted on), ``known`` (the source's directories) and, for feeds, ``changes``. A run that
+    compares digests also keeps ``digests``, those of the source it has dealt with.
     """
 
     def __init__(self, spark: SparkSession, base: str) -> None:
@@ -150,7 +151,7 @@ class SnapshotStore:
     def segments(self) -> dict[str, list[dict[str, Any]]]:
         """What the current state consists of."""
         head = self.log.head()
-        return head["segments"] if head else {table: [] for table in STATE}
+        return {table: head["segments"][table] if head else [] for table in STATE}
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """The target's rows. The frame remembers the state it shows, and a plan made from it carries that on.
@@ -176,7 +177,8 @@ class SnapshotStore:
         if head is None:
             return False
         version, run = state[0] + 1, f"compact-{uuid.uuid4().hex}"
-        segments = {table: self._compacted(table, live, version, run, full) for table, live in head["segments"].items()}
+        segments = dict(head["segments"])
+        segments |= {table: self._compacted(table, segments[table], version, run, full) for table in STATE}
         if segments == head["segments"]:
             return False
         self.commit(version, state, run=run, tables=[], segments=segments, txns=head["txns"])

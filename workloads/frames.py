@@ -260,3 +260,10 @@ def text_converters() -> Converters:
         .register("jpg", lambda text: F.regexp_replace(text, "[0-9]", "#"))
         .register("gz", lambda text: F.md5(text.cast("binary")))
     )
+
+
+def page_globs() -> list[str]:
+    """Many patterns over URLs: endings, whole paths, beginnings, and literals between wildcards."""
+    endings = [f"*/fr/{n}" for n in range(0, 1000, 7)]
+    inside = [f"*.th*/{lang}/{n}?" for lang in ("en", "de") for n in range(10, 100, 3)]
+    return [*endings, *inside, "blog.*", "www.*.example.net/*", "*.example.org/es/[1-4]*", "*/en/"]

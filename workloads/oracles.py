@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workloads.frames import EPOCH_US, TEMPLATES
+from workloads.frames import EPOCH_US, TEMPLATES, page_globs
 
 TEMPLATE_COUNT = len(TEMPLATES)
 
@@ -336,6 +336,12 @@ from ranked""",
 made as (select *, case when size > 1000 then 'second ' || text else text end as content from src)
 select rel_path, us + case when size > 1000 then 3600000000 else 0 end as mtime_us,
   octet_length(encode(content)) as size, mode, md5(content) as digest from made""",
+    "many_globs": f"""with {PAGES}
+select rel_path, page_id from pg
+where not exists (select 1 from (select unnest([{", ".join(f"'{glob}'" for glob in page_globs())}]) as pattern) where rel_path glob pattern)""",
+    "digested_run": f"""with {SOURCE}
+select rel_path, us + case when size > 1000 then 3600000000 else 0 end as mtime_us, octet_length(encode(text)) as size,
+  case when size > 1000 then 2 else 1 end::bigint as data_version from src""",
     "compacted_manifest": f"""with {SOURCE}
 select rel_path, us + 3600000000 as mtime_us, octet_length(encode(text)) as size, 2::bigint as data_version
 from src where size <= 1000""",

@@ -49,8 +49,9 @@ from tidemark.operators import (
     vanished,
     with_converter,
 )
-from tidemark.plans import SyncSpec, plan, run_sync
+from tidemark.plans import SyncSpec, plan, run_digested, run_sync
 from tidemark.sources import (
+    DigestedManifest,
     IndexedContent,
     SnapshotStore,
     TreeContent,
@@ -612,6 +613,26 @@ def compacted_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.manifest().select("rel_path", F.unix_micros("mtime").alias("mtime_us"), "size", "data_version")
 
 
+@query("digested_run")
+def digested_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two published states of the documents; the second run reads the buckets whose digests differ."""
+    docs = frames.doc_source(spark, sf_dir)
+    source = DigestedManifest(spark, scratch_dir(spark, "states"), buckets=64)
+    store = SnapshotStore(spark, scratch_dir(spark, "digested"))
+    spec = SyncSpec(rules=Converters().rules(spark, []))
+    later = F.when(F.col("size") > 1000, F.expr("interval 1 hour")).otherwise(F.expr("interval 0 hour"))
+    for state in (docs, docs.withColumn("mtime", F.col("mtime") + later)):
+        source.publish(state)
+        run_digested(spec, source, frames.doc_payload(spark, sf_dir), store)
+    return store.manifest().select("rel_path", F.unix_micros("mtime").alias("mtime_us"), "size", "data_version")
+
+
+@query("many_globs")
+def many_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of pages that none of many globs exclude."""
+    return exclude_paths(frames.pages(spark, sf_dir).select("rel_path", "page_id"), frames.page_globs())
+
+
 @query("incremental")
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a feed of versions, taken in by two incremental runs."""
