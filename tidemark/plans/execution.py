@@ -115,7 +115,8 @@ def _check_work(plan: SyncPlan, diff: DataFrame, payload: Payload, statistics: l
     """Raise for what would make the run fail after all converters have worked."""
     spec, worked = plan.spec, diff.filter(F.col("action").isin("convert", "copy"))
     for kind, known in (("expression", spec.converters.expressions), ("udf", spec.converters.udfs)):
-        if any(row.kind == kind for row in statistics):
+        unknown = spec.rules.converters.filter((F.col("kind") == kind) & ~F.col("name").isin(*known))
+        if any(row.kind == kind for row in statistics) and not unknown.isEmpty():
             names = worked.filter((F.col("kind") == kind) & ~F.col("converter").isin(*known)).select("converter").distinct()
             if missing := sorted(row.converter for row in names.limit(5).collect()):
                 raise RuleError(f"no {kind} is registered for {', '.join(missing)}")

@@ -15,7 +15,7 @@ import uuid
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.commits import CommitLog
@@ -98,14 +98,14 @@ class SnapshotStore:
 
     def write_segment(self, table: str, df: DataFrame, version: int, run: str, level: int) -> dict[str, Any] | None:
         """Write a base (level -1) or a change set, which has a column ``gone``; None for a change set without rows."""
-        key, schema = STATE[table]
-        path = self.path(table, version, run)
-        df.write.mode("overwrite").parquet(path)
-        written = self.spark.read.schema(schema).parquet(path)
-        rows, size = written.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()
-        if not rows and level >= 0:
+        key = STATE[table][0]
+        # counted while it is written, not by another pass
+        seen = Observation()
+        counted = df.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("bytes"))
+        counted.write.mode("overwrite").parquet(self.path(table, version, run))
+        if not seen.get["rows"] and level >= 0:
             return None
-        return {"version": version, "run": run, "level": level, "rows": rows, "bytes": size}
+        return {"version": version, "run": run, "level": level, "rows": seen.get["rows"], "bytes": seen.get["bytes"]}
 
     def _segment(self, table: str, segment: dict[str, Any]) -> DataFrame:
         schema = STATE[table][1] + ("" if segment["level"] < 0 else ", gone boolean")
