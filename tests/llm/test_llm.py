@@ -63,6 +63,36 @@ def test_token_counts(docs):
         assert row.over_limit == (row.n_tokens > 4096)
 
 
+def counted(transducer, texts):
+    coded = [t.encode() for t in texts]
+    return transducer.counts(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)])).tolist()
+
+
+@pytest.mark.parametrize("states", [token_counts.MAX_STATES, 2000])
+def test_token_counts_of_unbroken_text(monkeypatch, states):
+    """Maps of chunks that no space ends are composed; the cap on states forgets only those out of use."""
+    monkeypatch.setattr(token_counts, "MAX_STATES", states)
+    library, transducer, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), token_counts.Transducer(PIECES), random.Random(8)
+    chunk = token_counts.CHUNK
+    texts = [base64.b64encode(rng.randbytes(30_000)).decode(), "".join(rng.choices("etaoinshr", k=20_000)), "".join(rng.choices("ACGT", k=20_000))]
+    texts += [unit * n for unit in ("=", "-", "a", " ", "ab", "the", "=-", "é", "#" * 17 + "a") for n in (chunk - 2, chunk - 1, chunk, 7 * chunk + 5, 12_000)]
+    texts += ["".join(rng.choices("ab =é▁the", [9, 9, 1, 9, 1, 1, 9, 9, 9], k=rng.randrange(4 * chunk))) for _ in range(200)] + [""]
+    want = [len(library.encode(t)) for t in texts]
+    assert counted(transducer, texts) == want
+    assert [counted(transducer, [t])[0] for t in texts[:60]] == want[:60]
+    if states == 2000:
+        assert transducer.known < 20_000
+
+
+def test_token_counts_in_turn(monkeypatch):
+    """What rounds and guesses leave open follows the text's own path."""
+    monkeypatch.setattr(token_counts, "ROUNDS", 0)
+    monkeypatch.setattr(token_counts, "WARM", 1)
+    library, transducer = sentencepiece.SentencePieceProcessor(model_file=PIECES), token_counts.Transducer(PIECES)
+    texts = ["=" * 3000, "x" + "-" * 2999, "ab" * 1500, "some words " + "q" * 2000 + " and words"]
+    assert counted(transducer, texts) == [len(library.encode(t)) for t in texts]
+
+
 def ids_of(docs):
     library = Tokenizer.from_file(WORDS)
     return {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
