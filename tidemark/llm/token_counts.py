@@ -382,6 +382,8 @@ class Transducer:
         total = np.zeros(len(head), np.int64)
         open_ended = leaves < 0
         lane = np.flatnonzero(head > 0)  # never the first chunk
+        if not len(lane):
+            return total
         entry = leaves[lane - 1].copy()
         guessed = entry < 0
         if guessed.any():
@@ -396,7 +398,7 @@ class Transducer:
         # the chunk that a run of chunks without a constant map ends with
         stop = np.minimum.accumulate(np.where(open_ended, len(head) - 1, np.arange(len(head)))[::-1])[::-1]
         rounds = 0
-        while len(lane):
+        while True:
             self.live += [known_entry, known_exit, entry]
             exits, emitted = self._through(chars, lane, np.zeros(len(lane), np.int64), head[lane], entry)
             del self.live[-3:]
@@ -420,7 +422,7 @@ class Transducer:
             wanted = wanted[~np.isin(wanted, known_lane << 32 | known_entry)]
             lane, entry = wanted >> 32, wanted & 0xFFFFFFFF
             rounds += 1
-        total[known_lane[passed]] = known_total[passed] if len(known_lane) else 0
+        total[known_lane[passed]] = known_total[passed]
         return total
 
     @staticmethod
