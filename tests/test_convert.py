@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import payload
 from tidemark import Converters
-from tidemark.operators import transform, transform_in_workers
+from tidemark.operators import ledger, transform, transform_in_workers
 from tidemark.sources import load_payload
 
 
@@ -99,3 +99,20 @@ def test_udfs_and_commands_share_one_pass(spark):
     done = transform_in_workers(both, table, converters)
     assert done._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
     assert {row.rel_path: bytes(row.content) for row in done.collect()} == {"a": b"X", "b": b"y"}
+
+
+def test_a_ledger_holds_finished_outputs(tmp_path, monkeypatch):
+    first = ledger.Ledger(str(tmp_path), 3, 1e9)
+    monkeypatch.setattr(ledger, "SEGMENT_BYTES", 4)
+    keys = [ledger.digest(["x", "y"], "in", "out", content) for content in (b"a", b"b", b"", b"c")]
+    assert ledger.digest(["xy"], "in", "out", b"a") not in keys and len(set(keys)) == 4
+    for key, output in zip(keys, (b"12345", b"1", b"", b"123"), strict=False):
+        first.add(key, "path", output)
+    assert len(list((tmp_path / "part-000003").iterdir())) == 2 and not first.pending
+    first.add(b"more", "path", b"1")
+    first.flush()
+    (tmp_path / "part-000003" / "cut.part").write_bytes(b"PAR1")
+    for root in (str(tmp_path), tmp_path.as_uri()):
+        second = ledger.Ledger(root, 3, 0)
+        assert [second.get(key) for key in (*keys, b"more", b"none")] == [b"12345", b"1", b"", b"123", b"1", None]
+        assert ledger.Ledger(root, 4, 0).get(keys[0]) is None

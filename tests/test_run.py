@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tests.helpers import contents, dirs, manifest, paths_of, payload, statuses
@@ -341,3 +342,35 @@ def test_the_source_is_read_once_to_compare_and_once_for_directories(spark, stor
         assert seen.value <= 2 * len(files)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
     assert contents(store) == {f"d/{n}.out": f"d/{n}.rawd/{n}.raw".encode() for n in range(6)}
+
+
+def recorded(store):
+    return [row.rel_path for row in store.spark.read.parquet(*map(str, Path(store.base).glob("ledger/*/*/part-*/*.parquet"))).collect()]
+
+
+def test_a_run_that_broke_off_repeats_unfinished_commands_only(spark, store, tmp_path):
+    script = 'echo {stem} >> "$0/log"; [ {stem} != f31 ] || [ -e "$0/killed" ] || { touch "$0/killed"; sleep 1; kill -9 $PPID; }; tr a-z A-Z < {input} > {output}'
+    converters = Converters().register_command("up", ["sh", "-c", script.replace("{ t", "{{ t").replace("; }", "; }}"), str(tmp_path)])
+    spec_ = spec(spark, [(".txt", "up", ".out")], converters, record_seconds=0)
+    files = {f"f{n}.txt": f"text {n}" for n in range(40)}
+    log = tmp_path / "log"
+    with pytest.raises(Exception, match="(?i)python worker|crashed|EOF"):
+        run_sync(spec_, manifest(spark, dict.fromkeys(files, 1)), payload(spark, files), store)
+    done = recorded(store)
+    assert done and len(done) == len(set(done)) and "f31.txt" not in done
+    log.write_text("")
+    # a changed source isn't taken from the record
+    changed = done[0]
+    files[changed] = "other"
+    result = run_sync(spec_, manifest(spark, dict.fromkeys(files, 1)), payload(spark, files), store)
+    again = [f"{name}.txt" for name in log.read_text().split()]
+    assert sorted(again) == sorted(set(files) - set(done) | {changed})
+    assert set(statuses(result).values()) == {"ok"}
+    assert contents(store) == {path.replace("txt", "out"): text.upper().encode() for path, text in files.items()}
+    assert not list(Path(store.base).glob("ledger/*/*"))
+
+
+def test_commands_of_a_task_are_bounded(spark, monkeypatch):
+    rows = [Row(bytes=10, items=900, kind="command"), Row(bytes=10, items=900, kind="udf")]
+    assert execution._tasks(spark, rows, 9) == 100
+    assert execution._tasks(spark, rows, 10**6) == spark.sparkContext.defaultParallelism

@@ -10,12 +10,14 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import file_stem, raw_ext
 from tidemark.functions.templates import render_template
+from tidemark.operators.ledger import Ledger, digest
 from tidemark.operators.rules import Rules, with_converter
 
 # ship the worker functions with the job, so executors need no installed copy of this package
@@ -161,8 +163,39 @@ def _run_command(argv: list[str] | None, source: str, target: str, content: byte
         return (output.read_bytes() if output.is_file() else b""), 0, None
 
 
+def _recorded_command(ledger: Ledger, rel_path: str, argv: list[str] | None, source: str, target: str, content: bytes, timeout: float):
+    """As ``_run_command``, but an item whose output is recorded isn't run again; failures aren't recorded."""
+    if argv is None:
+        return _run_command(argv, source, target, content, timeout)
+    item = digest(list(argv), source, target, content)
+    output = ledger.get(item)
+    if output is not None:
+        return output, 0, None
+    output, code, message = _run_command(argv, source, target, content, timeout)
+    if code == 0 and message is None:
+        ledger.add(item, rel_path, output)
+    return output, code, message
+
+
 def _convert_batches(
-    batches: Iterator[pd.DataFrame], udfs: dict[str, Callable[[pd.Series], pd.Series]], timeout: float
+    batches: Iterator[pd.DataFrame],
+    udfs: dict[str, Callable[[pd.Series], pd.Series]],
+    timeout: float,
+    record: tuple[str, float] | None = None,
+) -> Iterator[pd.DataFrame]:
+    ledger = None
+    if record is not None:
+        task = TaskContext.get()
+        ledger = Ledger(record[0], task.partitionId() if task else 0, record[1])
+    try:
+        yield from _converted(batches, udfs, timeout, ledger)
+    finally:
+        if ledger is not None:
+            ledger.flush()
+
+
+def _converted(
+    batches: Iterator[pd.DataFrame], udfs: dict[str, Callable[[pd.Series], pd.Series]], timeout: float, ledger: Ledger | None
 ) -> Iterator[pd.DataFrame]:
     for batch in batches:
         outputs, codes, messages = ([None] * len(batch) for _ in range(3))
@@ -174,8 +207,12 @@ def _convert_batches(
                     outputs[row], messages[row] = output, message
             else:
                 columns = zip(group["argv"], group["staged_in"], group["staged_out"], group["content"], strict=True)
-                for row, (argv, source, target, content) in zip(group.index, columns, strict=True):
-                    outputs[row], codes[row], messages[row] = _run_command(argv, source, target, content, timeout)
+                for row, call in zip(group.index, columns, strict=True):
+                    if ledger is None:
+                        done = _run_command(*call, timeout)
+                    else:
+                        done = _recorded_command(ledger, group["rel_path"][row], *call, timeout)
+                    outputs[row], codes[row], messages[row] = done
         yield pd.DataFrame(
             {
                 "rel_path": batch["rel_path"],
@@ -192,12 +229,19 @@ def _convert_batches(
 
 
 def convert_in_workers(
-    items: DataFrame, converters: DataFrame, registry: Converters, timeout: float = 3600.0, bounded: bool | None = None
+    items: DataFrame,
+    converters: DataFrame,
+    registry: Converters,
+    timeout: float = 3600.0,
+    bounded: bool | None = None,
+    record: tuple[str, float] | None = None,
 ) -> DataFrame:
     """Run the UDF and command converters of ``items`` in Python workers, in one pass.
 
     A command sees staged files named after the source and the target's extension; its words are
     rendered on the JVM. A failing row is reported in ``message`` and does not stop the others.
+    ``record`` is a folder that executors can write to, and the seconds after which outputs that commands have
+    finished are recorded there; a repeated task takes them over.
     """
     staged_in = F.concat(F.lit("in/"), file_stem("rel_path"), raw_ext("rel_path"))
     staged_out = F.concat(F.lit("out/data"), raw_ext("target_path"))
@@ -220,7 +264,7 @@ def convert_in_workers(
     )
     needed = ["rel_path", "target_path", "action", "converter", "mtime", "mode", "argv", "staged_in", "staged_out", "content"]
     udfs = dict(registry.udfs)
-    return prepared.select(*needed).mapInPandas(lambda batches: _convert_batches(batches, udfs, timeout), _WORKER_SCHEMA)
+    return prepared.select(*needed).mapInPandas(lambda batches: _convert_batches(batches, udfs, timeout, record), _WORKER_SCHEMA)
 
 
 def transform(items: DataFrame, registry: Converters, allow_empty: bool = False) -> DataFrame:
@@ -235,8 +279,9 @@ def transform_in_workers(
     allow_empty: bool = False,
     timeout: float = 3600.0,
     bounded: bool | None = None,
+    record: tuple[str, float] | None = None,
 ) -> DataFrame:
     """Items of UDF and command converters, with content in the type it came in."""
     content_type = dict(items.dtypes)["content"]
-    done = convert_in_workers(items, converters, registry, timeout, bounded)
+    done = convert_in_workers(items, converters, registry, timeout, bounded, record)
     return _checked(done.withColumn("content", F.col("content").cast(content_type)), allow_empty)

@@ -102,11 +102,12 @@ def _guard(plan: SyncPlan, statistics: list[Row], diff: DataFrame) -> None:
         raise EmptySourceError("the source is empty and the target is not")
 
 
-def _tasks(spark: SparkSession, rows: list[Row]) -> int:
-    """Partitions for items of known total size: the cost follows the bytes, the memory the rows."""
+def _tasks(spark: SparkSession, rows: list[Row], command_items: int) -> int:
+    """Partitions for items of known total size: the cost follows the bytes and the commands, the memory the rows."""
     wanted = max(
         math.ceil(sum(row.bytes for row in rows) / PARTITION_BYTES),
         math.ceil(sum(row["items"] for row in rows) / PARTITION_ITEMS),
+        math.ceil(sum(row["items"] for row in rows if row.kind == "command") / command_items),
     )
     return max(spark.sparkContext.defaultParallelism, min(wanted, MAX_TASKS))
 
@@ -125,8 +126,8 @@ def _check_work(plan: SyncPlan, diff: DataFrame, payload: Payload, statistics: l
         raise PayloadError("a path has more than one content: " + ", ".join(sorted(row.rel_path for row in shown)))
 
 
-def _transformed(plan: SyncPlan, diff: DataFrame, payload: Payload, statistics: list[Row]) -> DataFrame:
-    """The worked items with their content."""
+def _transformed(plan: SyncPlan, diff: DataFrame, payload: Payload, statistics: list[Row], ledger: str) -> DataFrame:
+    """The worked items with their content; outputs of commands are recorded in ``ledger`` if the spec says so."""
     spec, spark = plan.spec, diff.sparkSession
     work = diff.filter(F.col("action").isin("convert", "copy")).select(
         "rel_path", "target_path", "action", "converter", "kind", "mtime", "mode"
@@ -135,13 +136,14 @@ def _transformed(plan: SyncPlan, diff: DataFrame, payload: Payload, statistics:
     in_workers = [row for row in todo if row.kind in ("udf", "command")]
     on_jvm = [row for row in todo if row.kind not in ("udf", "command")]
     parts: list[DataFrame] = []
+    record = None if spec.record_seconds is None else (ledger, spec.record_seconds)
     python_kind = F.coalesce(F.col("kind").isin("udf", "command"), F.lit(False))
     if on_jvm:
-        key_bytes, tasks = sum(row.key_bytes for row in on_jvm), _tasks(spark, on_jvm)
+        key_bytes, tasks = sum(row.key_bytes for row in on_jvm), _tasks(spark, on_jvm, spec.command_items)
         loaded = load_payload(payload, work.filter(~python_kind), key_bytes, tasks)
         parts.append(transform(loaded, spec.converters, spec.allow_empty_output))
     if in_workers:
-        key_bytes, tasks = sum(row.key_bytes for row in in_workers), _tasks(spark, in_workers)
+        key_bytes, tasks = sum(row.key_bytes for row in in_workers), _tasks(spark, in_workers, spec.command_items)
         loaded = load_payload(payload, work.filter(python_kind), key_bytes, tasks)
         if key_bytes <= MAX_BROADCAST_KEY_BYTES and not isinstance(payload, TreeContent):
             # the content sits where it was read; spread the work
@@ -154,6 +156,7 @@ def _transformed(plan: SyncPlan, diff: DataFrame, payload: Payload, statistics:
                 spec.allow_empty_output,
                 spec.command_timeout,
                 spec.rules.bounded,
+                record,
             )
         )
     return reduce(DataFrame.unionByName, parts)
@@ -317,6 +320,8 @@ def apply(
     base = plan.base or store.state()  # a target that is no store's suits a store without versions only
     store.expect(base)
     version, run = base[0] + 1, txn or uuid.uuid4().hex
+    # the same for a run that is started again after it broke off
+    ledger = store.path("ledger", version, "commands")
 
     diff = staged(spark, plan.diff, store.path("diff", version, run))
     # directories follow from the same comparison: neither it nor the source's directories are derived again
@@ -344,7 +349,7 @@ def apply(
     if actions & {"convert", "copy"}:
         _check_work(plan, diff, payload, statistics)
         with _small_batches(spark):
-            items = staged(spark, _transformed(plan, diff, payload, statistics), store.path("items", version, run))
+            items = staged(spark, _transformed(plan, diff, payload, statistics, ledger), store.path("items", version, run))
         gone = staged(spark, _vanished(diff, items, small), store.path("vanished", version, run))
         planned = sum(row["items"] for row in statistics if row.action in ("convert", "copy"))
         if items.count() + gone.count() != planned:
@@ -382,6 +387,8 @@ def apply(
     if txn is not None:
         txns[txn.rpartition("-")[0]] = txn
     store.commit(version, base, run=run, tables=tables, txns=txns, retired_bytes=retired_bytes, segments=segments)
+    if plan.spec.record_seconds is not None:
+        store.log.delete(ledger)
     return SyncResult(outcome, version, True)
 
 

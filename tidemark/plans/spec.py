@@ -24,7 +24,10 @@ class SyncSpec:
     """Rules and options of a run.
 
     ``modify_window`` is in seconds (negative: exact versions). ``on_conflict`` says what happens when
-    several sources share one target: ``error``, or ``first`` in path order.
+    several sources share one target: ``error``, or ``first`` in path order. A task runs ``command_items``
+    commands at most, as long as 20,000 tasks suffice. With ``record_seconds`` outputs that commands have finished
+    are recorded in the store after that many seconds (0: each at once) until the run is published: what a lost
+    executor or a run that broke off had recorded isn't run again. Executors reach the store through Arrow then.
     """
 
     rules: Rules
@@ -38,12 +41,16 @@ class SyncSpec:
     allow_empty_source: bool = False
     allow_empty_output: bool = False
     command_timeout: float = 3600.0
+    command_items: int = 1_000
+    record_seconds: float | None = None
     source_root: str | None = None
     target_root: str | None = None
 
     def __post_init__(self) -> None:
         if self.on_conflict not in ("error", "first"):
             raise SpecError(f"on_conflict must be 'error' or 'first', not {self.on_conflict!r}")
+        if self.command_items < 1:
+            raise SpecError("a task runs one command at least")
         compile_globs((*self.source_exclude, *self.target_exclude), self.strict_globs)
         if self.source_root is not None and self.target_root is not None:
             source, target = self.source_root.rstrip("/") + "/", self.target_root.rstrip("/") + "/"

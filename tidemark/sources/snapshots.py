@@ -26,7 +26,7 @@ STORED_MANIFEST_SCHEMA = MANIFEST_SCHEMA + ", data_version bigint"
 #: the tables of a state: their key and schema
 STATE = {"manifest": ("rel_path", STORED_MANIFEST_SCHEMA), "dirs": ("path", "path string")}
 #: all other tables of a version
-RUN_TABLES = ("items", "vanished", "conflicts", "retired", "diff", "known", "changes", "digests")
+RUN_TABLES = ("items", "vanished", "conflicts", "retired", "diff", "known", "changes", "digests", "ledger")
 #: so many change sets of one level are merged into one of the next
 FANOUT = 8
 #: changes that amount to this share of the base are merged into it
