@@ -203,6 +203,12 @@ def test_language(spark):
     assert all(found[n].lang_pred == lang and not found[n].rejected and 0 <= found[n].score <= 1 for n, _, lang in rows)
     assert found[900].lang_pred == found[901].lang_pred == "und" and found[900].rejected and found[902].lang_pred == "aa"
     assert langid.predict(df.limit(1), langid.train(df.limit(0))).first().lang_pred == "und"
+    clashing = df.withColumns({"lang_pred": F.lit(1), "SCORE": F.lit("x"), "rejected": F.lit(None).cast("date"), "size": F.lit(2)})
+    told = langid.predict(clashing, models)
+    assert sorted(told.columns) == sorted([*df.columns, "size", "lang_pred", "score", "rejected"])
+    assert {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in told.collect()} == {d: (r.lang_pred, r.score, r.rejected) for d, r in found.items()}
+    with pytest.raises(ValueError, match="added"):
+        langid.predict(df.withColumnRenamed("text", "Score"), models, text_col="Score")
     # the probabilities that follow a context add up to at most one
     odds = 2.0 ** models.bits(np.array([ord(a) << 16 | ord(b) for a in "s" for b in "abcdefghijklmnopqrstuvwxyz"], np.uint64), 2)
     assert (odds.sum(0) <= 1.001).all()

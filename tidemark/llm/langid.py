@@ -285,8 +285,11 @@ def predict(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     """All rows and columns with lang_pred, score (0 to 1) and rejected, from the whole text alone.
 
     ``lang_pred`` is ``und``, the score 0 and the row rejected if the text is NULL or has no letter, or nothing
-    was learned. The names must be free in df. Ties go to the language first by name.
+    was learned. Columns of df that have these names, in any case, are replaced. Ties go to the language first by name.
     """
+    if text_col.lower() in ("lang_pred", "score", "rejected"):
+        raise ValueError(f"the text can't be in a column that is added: {text_col}")
+    df = df.drop("lang_pred", "score", "rejected")
     shared = df.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
