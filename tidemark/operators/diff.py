@@ -68,7 +68,7 @@ def _compare(
     work: DataFrame,
     target: DataFrame,
     how: str,
-    window: int = 0,
+    window: int | None = 0,
     protect: Iterable[str] = (),
     strict: bool = True,
     newer_only: bool = False,
@@ -81,7 +81,7 @@ def _compare(
         *[F.col(name) for name in target.columns if name == "data_version"],
         F.lit(True).alias("in_target"),
     )
-    fresh = is_fresh("target_mtime", "mtime", window)
+    fresh = F.lit(False) if window is None else is_fresh("target_mtime", "mtime", window)
     if newer_only:
         fresh = fresh | (F.col("target_mtime") > F.col("mtime"))
     reason = (
@@ -107,7 +107,7 @@ def _compare(
 def reconcile(
     ranked: DataFrame,
     target: DataFrame,
-    window: int = 0,
+    window: int | None = 0,
     protect: Iterable[str] = (),
     strict: bool = True,
     newer_only: bool = False,
@@ -119,7 +119,8 @@ def reconcile(
     Both sides arrive partitioned by target path and cut down to a few rows per key, so the join adds no
     shuffle of its own and has no hot key.
 
-    A target that is newer than its source is stale like an older one, unless ``newer_only`` is set.
+    A target that is newer than its source is stale like an older one, unless ``newer_only`` is set. Without a window
+    (None) no version counts as the same.
     """
     return _compare(ranked, latest_versions(target), "full", window, protect, strict, newer_only)
 

@@ -96,6 +96,7 @@ def plan(
     prunes: bool = True,
     few_changes: bool = False,
     base: tuple[int, int] | None = None,
+    settled: bool = False,
 ) -> SyncPlan:
     """Compare a source manifest with a target manifest under the rules of ``spec``.
 
@@ -104,6 +105,8 @@ def plan(
     change older than the target is skipped. ``few_changes`` says that such a feed is known to be small
     enough to broadcast; the target is then filtered where it is read instead of being shuffled. ``base``
     names the store state that a target derived from a store's manifest shows; the manifest itself knows.
+    ``settled`` says that each change of such a feed comes after what the target has of its path, so one of the
+    same time or within the window replaces it too.
     """
     base = base or getattr(target, "store_state", None)
     items = work_items(spec, source)
@@ -115,5 +118,6 @@ def plan(
         compared = target.join(touched, "rel_path", "left_semi")
         rest = target.join(touched, "rel_path", "left_anti")
     protect = spec.target_exclude if prunes else ("*",)
-    diff = reconcile(ranked, compared, spec.modify_window, protect, spec.strict_globs, newer_only=not prunes)
+    window = None if settled and not prunes else spec.modify_window
+    diff = reconcile(ranked, compared, window, protect, spec.strict_globs, newer_only=not prunes)
     return SyncPlan(spec, source, target, diff, known, all_dirs(target, target_dirs), prunes, rest, base)

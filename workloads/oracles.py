@@ -390,3 +390,4 @@ union all select distinct 's=' || source, null::bigint from documents""",
     "snapshot_sink": f"with {SOURCE} select rel_path, us as mtime_us, size, mode from src",
     "incremental": f"""with {STATES} select path || '.opus' as rel_path, us as mtime_us from now_state""",
 }
+ORACLES["incremental_keyed"] = ORACLES["incremental"]

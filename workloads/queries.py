@@ -633,9 +633,7 @@ def many_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exclude_paths(frames.pages(spark, sf_dir).select("rel_path", "page_id"), frames.page_globs())
 
 
-@query("incremental")
-def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a feed of versions, taken in by two incremental runs."""
+def _feed_runs(spark: SparkSession, sf_dir: str, keyed_state: bool) -> DataFrame:
     base = scratch_dir(spark, "feed")
     events = frames.read(spark, sf_dir, "events")
     key = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"), F.lit(".FLAC"))
@@ -647,5 +645,17 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (feed.filter(F.col("mtime") < middle), feed.filter(F.col("mtime") >= middle)):
         part.write.mode("append").parquet(f"{base}/feed")
         stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 64).parquet(f"{base}/feed")
-        sync_stream(spec, stream, payload, store, f"{base}/checkpoint").awaitTermination()
+        sync_stream(spec, stream, payload, store, f"{base}/checkpoint", keyed_state=keyed_state).awaitTermination()
     return store.manifest().select("rel_path", F.unix_micros("mtime").alias("mtime_us"))
+
+
+@query("incremental")
+def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a feed of versions, taken in by two incremental runs."""
+    return _feed_runs(spark, sf_dir, keyed_state=False)
+
+
+@query("incremental_keyed")
+def incremental_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feed; the stream itself remembers the newest version of every path."""
+    return _feed_runs(spark, sf_dir, keyed_state=True)
