@@ -16,6 +16,7 @@ from tidemark.operators import (
     rank_sources,
     removable_dirs,
     target_conflicts,
+    unoccupied,
 )
 
 
@@ -123,8 +124,41 @@ def test_removable_dirs_against_brute_force(spark):
             if path not in known and not inside:
                 removed.add(path)
         frames = [manifest(spark, dict.fromkeys(paths, 1)) for paths in (target, source, survivors)]
-        found = removable_dirs(ancestor_dirs(frames[0]), ancestor_dirs(frames[1]), frames[2])
-        assert set(paths_of(found, "path")) == removed
+        for deep in (False, True):
+            found = removable_dirs(ancestor_dirs(frames[0]), ancestor_dirs(frames[1]), frames[2], deep=deep)
+            assert paths_of(found, "path") == sorted(removed)
+
+
+def test_a_sweep_of_deep_trees(spark):
+    # chains of 200 directories; one has a file at its end, one half way, one nowhere
+    chain = lambda name: ["/".join([name, *["d"] * n]) for n in range(200)]
+    target = dirs(spark, [*chain("a"), *chain("a-b"), *chain("b")]).repartition(3)
+    survivors = manifest(spark, {f"{chain('a')[-1]}/f": 1, f"{chain('a-b')[99]}/f": 1})
+    found = removable_dirs(target, dirs(spark, []), survivors, deep=True)
+    assert paths_of(found, "path") == sorted([*chain("a-b")[100:], *chain("b")])
+    shown = found._jdf.queryExecution().toString()
+    assert "Generate" not in shown and "rangepartitioning" in shown
+
+
+def test_a_sweep_of_odd_paths(spark):
+    paths = [None, None, "", "/x", "a", "a", "a/b", "a-b", "a\u00e9/\U0001f600", "z//y"]
+    given = dirs(spark, paths)
+    assert paths_of(unoccupied(given, dirs(spark, [])), "path") == sorted({p for p in paths if p is not None})
+    kept = dirs(spark, ["/x/1", "a/b/c", "a/b/c", None, "a\u00e9/\U0001f600/1", "z//y"])
+    assert paths_of(unoccupied(given, kept), "path") == ["a-b"]
+    assert unoccupied(dirs(spark, []), kept).isEmpty()
+
+
+def test_a_sweep_across_tasks(spark):
+    # the kept path lies in another range than the directories above it
+    given = dirs(spark, [f"top/{n:04}" for n in range(2000)] + ["top", "up"])
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        found = paths_of(unoccupied(given, dirs(spark, ["top/1999/in/it", "up/x"])), "path")
+    finally:
+        spark.conf.unset(conf)
+    assert found == [f"top/{n:04}" for n in range(1999)]
 
 
 def test_conflicts(spark):

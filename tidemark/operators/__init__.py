@@ -23,6 +23,7 @@ from tidemark.operators.directories import (
 from tidemark.operators.filters import exclude_paths, keep_mapped
 from tidemark.operators.reports import action_summary, failure_summary, in_path_order, scanned_count
 from tidemark.operators.rules import RuleError, Rules, check_rules, map_paths, rule_errors, with_converter
+from tidemark.operators.sweep import unoccupied
 
 __all__ = [
     "Converters",
@@ -54,6 +55,7 @@ __all__ = [
     "target_conflicts",
     "transform",
     "transform_in_workers",
+    "unoccupied",
     "vanished",
     "with_converter",
 ]

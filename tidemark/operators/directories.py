@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import parent_dir, path_order
+from tidemark.operators.sweep import unoccupied
 
 
 def parent_dirs(manifest: DataFrame, path: str = "rel_path") -> DataFrame:
@@ -44,13 +45,20 @@ def orphan_dirs(target_dirs: DataFrame, known_dirs: DataFrame) -> DataFrame:
     return target_dirs.join(known_dirs, "path", "left_anti")
 
 
-def removable_dirs(target_dirs: DataFrame, known_dirs: DataFrame, survivors: DataFrame, path: str = "rel_path") -> DataFrame:
+def removable_dirs(
+    target_dirs: DataFrame, known_dirs: DataFrame, survivors: DataFrame, path: str = "rel_path", deep: bool = False
+) -> DataFrame:
     """Orphan directories that are empty once the orphan files are gone.
 
     A directory stays when a surviving file or a known directory lies anywhere below it. Testing that
     against the ancestors of the survivors gives the end state of removing empty directories deepest
     first, without going through the depths one by one.
+
+    That multiplies the occupied directories by their depth. For ``deep`` trees a sweep in path order gives the same
+    directories and shuffles each path as often whatever its depth (see ``unoccupied``).
     """
+    if deep:
+        return unoccupied(target_dirs, parent_dirs(survivors, path).unionByName(known_dirs.select("path")))
     occupied = with_ancestors(parent_dirs(survivors, path).unionByName(parent_dirs(known_dirs, "path")))
     return orphan_dirs(target_dirs, known_dirs).join(occupied, "path", "left_anti")
 

@@ -67,7 +67,7 @@ class SyncPlan:
         if not self.prunes:
             return self.target_dirs.limit(0)
         survivors = self.diff.filter("action <> 'delete'")
-        return removable_dirs(self.target_dirs, self.known_dirs, survivors, "target_path")
+        return removable_dirs(self.target_dirs, self.known_dirs, survivors, "target_path", self.spec.deep_dirs)
 
     @property
     def deletes(self) -> DataFrame:

@@ -28,6 +28,7 @@ class SyncSpec:
     commands at most, as long as 20,000 tasks suffice. With ``record_seconds`` outputs that commands have finished
     are recorded in the store after that many seconds (0: each at once) until the run is published: what a lost
     executor or a run that broke off had recorded isn't run again. Executors reach the store through Arrow then.
+    ``deep_dirs`` finds directories to remove by a sweep that costs the same for every depth (see ``removable_dirs``).
     """
 
     rules: Rules
@@ -43,6 +44,7 @@ class SyncSpec:
     command_timeout: float = 3600.0
     command_items: int = 1_000
     record_seconds: float | None = None
+    deep_dirs: bool = False
     source_root: str | None = None
     target_root: str | None = None
 

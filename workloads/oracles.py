@@ -391,3 +391,4 @@ union all select distinct 's=' || source, null::bigint from documents""",
     "incremental": f"""with {STATES} select path || '.opus' as rel_path, us as mtime_us from now_state""",
 }
 ORACLES["incremental_keyed"] = ORACLES["incremental"]
+ORACLES["removable_dirs_deep"] = ORACLES["removable_dirs"]

@@ -261,12 +261,22 @@ def unknown_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_dirs(target, ancestor_dirs(frames.doc_source(spark, sf_dir)))
 
 
-@query("removable_dirs")
-def dirs_to_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dirs_to_remove(spark: SparkSession, sf_dir: str, deep: bool) -> DataFrame:
     target, work = frames.doc_target(spark, sf_dir), frames.doc_work(spark, sf_dir)
     survivors = reconcile(rank_sources(work), target, 0, frames.PROTECTED).filter("action <> 'delete'")
     known = ancestor_dirs(frames.doc_source(spark, sf_dir))
-    return deepest_first(removable_dirs(ancestor_dirs(target), known, survivors, "target_path"))
+    return deepest_first(removable_dirs(ancestor_dirs(target), known, survivors, "target_path", deep))
+
+
+@query("removable_dirs")
+def dirs_to_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dirs_to_remove(spark, sf_dir, deep=False)
+
+
+@query("removable_dirs_deep")
+def deep_dirs_to_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same directories by a sweep in path order."""
+    return _dirs_to_remove(spark, sf_dir, deep=True)
 
 
 @query("plan_deletes")
