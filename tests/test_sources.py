@@ -224,3 +224,29 @@ def test_a_tree_is_written_from_a_table(spark, tmp_path):
     assert tuple(row) == (1_704_067_200_123_456, 0o600, 1)
     read = load_payload(TreeContent(f"file://{root}"), found.select("rel_path"))
     assert {r.rel_path: bytes(r.content) for r in read.collect()} == {"a/b.txt": b"1", "c": b""}
+
+
+def test_tree_content_is_read_and_written_in_small_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    from tidemark import write_tree
+    from tidemark.sources import trees
+
+    size, name = 300_000, "spark.sql.execution.arrow.maxBytesPerBatch"
+    files = spark.range(40).select(
+        F.concat(F.lit("d/"), F.col("id").cast("string")).alias("rel_path"), F.repeat(F.lit("x"), size).cast("binary").alias("content")
+    )
+    before = spark.conf.get(name)
+    try:
+        assert write_tree(files.coalesce(1), str(tmp_path)).where("status = 'ok'").count() == 40
+        sent = files.coalesce(1).mapInArrow(
+            lambda batches: (pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]}) for batch in batches), "bytes long"
+        )
+        assert sent.agg(F.max("bytes")).first()[0] <= (4 << 20) + 2 * size
+    finally:
+        spark.conf.set(name, before)
+    work = pa.RecordBatch.from_pydict({"rel_path": [f"d/{n}" for n in range(41)], "n": list(range(41))})
+    read = list(trees._read_batches(str(tmp_path), iter([work])))
+    assert [n for batch in read for n in batch.column("n").to_pylist()] == list(range(40))
+    assert all(len(content) == size for batch in read for content in batch.column("content").to_pylist())
+    assert len(read) > 1 and max(batch.nbytes for batch in read) <= (4 << 20) + 2 * size
