@@ -232,3 +232,79 @@ def test_nothing_learned(spark):
     held = next(n for n in range(1000) if zlib.crc32(str(n).encode()) % 10 == 0)
     row = lattice.score(spark.createDataFrame([(held, "two words")], "doc_id long, text string"), PIECES).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0)
+
+
+def test_expected_pieces():
+    model = lattice.Lattice(PIECES)
+    weights = pieces_of(model)
+    place = {}
+    for key, node in zip(model.keys.tolist(), model.next.tolist()):
+        place.setdefault(key >> 21, []).append((chr(key & 0x1FFFFF), node))
+
+    def node_of(piece):
+        node = 0
+        for char in piece:
+            node = dict(place[node])[char]
+        return node
+
+    def ways(text):
+        if not text:
+            yield 1.0, []
+        for n in range(1, len(text) + 1):
+            if text[:n] in weights:
+                yield from ((math.exp(weights[text[:n]]) * p, [node_of(text[:n]), *nodes]) for p, nodes in ways(text[n:]))
+            elif n == 1:
+                size = len(text[0].encode())
+                yield from ((math.exp(size * model.byte) * p, [0] * size + nodes) for p, nodes in ways(text[1:]))
+
+    words, want = ["there", "日😀a", "in", "x▁e", "istin"], np.zeros(len(model.value))
+    for word in words:
+        found = list(ways("▁" + word))
+        for p, nodes in found:
+            np.add.at(want, nodes, p / sum(q for q, _ in found))
+    assert np.allclose(model.expected(words), want, rtol=1e-9, atol=1e-12)
+    learned = model.weighted(want)
+    assert math.isclose(np.exp(learned.value).sum() + 256 * math.exp(learned.byte), 1, rel_tol=1e-9)
+    assert (learned.value > -math.inf).tolist() == (model.value > -math.inf).tolist()
+
+
+@pytest.mark.parametrize("heavy", [4, 1 << 16])
+def test_learned_scores(spark, monkeypatch, heavy):
+    monkeypatch.setattr(lattice, "HEAVY", heavy)
+    monkeypatch.setattr(lattice, "SAMPLE", 300)
+    rng = random.Random(5)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "ou", "ti"]
+    known = ["".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(3000)]
+    odd = ["z" * 300, "😀" * 15, "日" * 21]
+    texts = [" ".join(known[int(len(known) * rng.random() ** 3)] for _ in range(300)) for _ in range(200)]
+    rows = [(n, text) for n, text in enumerate(texts)]
+    held = [n for n in range(200, 400) if zlib.crc32(str(n).encode()) % 10 == 0]
+    rows += [(held[0], " ".join(odd * 3 + known[:50])), (held[1], None), (201, "q" * 90 + " qq"), *((n, " ".join(odd)) for n in held[2:9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(lattice.score(df, PIECES).collect(), key=lambda row: (row.doc_id, row.n_tokens))
+    assert len(found) == len(rows) and all(math.isfinite(row.score) for row in found)
+    usual = [row for row in found if row.held_out and row.doc_id < 200]
+    assert len(usual) > 10 and sum(row.score for row in usual) > 1.05 * sum(row.base_score for row in usual)
+
+    tokens = {n: words_of(text) for n, text in rows}
+    counts, out = Counter(), {n: zlib.crc32(str(n).encode()) % 10 == 0 for n in tokens}
+    for n, words in tokens.items():
+        if not out[n]:
+            counts.update(words)
+    n, learned = sum(counts.values()), sum(not held for held in out.values())
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice)
+    table = lattice.vocabulary(df, "text", ~lattice.held_out("doc_id")).where("c > 0").cache()
+    assert table.where("spelled is not null").first().spelled == "q" * 90 and table.count() == len(counts)
+    model = lattice.lattice_of(PIECES).weighted(lattice.learn_pieces(table, PIECES, len(counts)))
+    met = sorted({word for words in tokens.values() for word in words})
+    pieces = dict(zip(met, model.words(met) / math.log(10)))
+    for row in found:
+        want = math.log10(learned / (n + learned))
+        for at, word in enumerate(words := tokens[row.doc_id]):
+            spelled = math.log10(discount * len(counts) / n) + pieces[word]
+            p = max(counts[word] - discount, 0) / n + 10**spelled
+            drawn, before = lattice.URN * p, words[:at].count(word)
+            want += math.log10(n / (n + learned)) - math.log10(lattice.URN + at)
+            want += math.log10(drawn + before) if drawn + before else math.log10(lattice.URN) + spelled
+        assert math.isclose(row.score, want, rel_tol=1e-9)
