@@ -308,3 +308,68 @@ def test_learned_scores(spark, monkeypatch, heavy):
             want += math.log10(n / (n + learned)) - math.log10(lattice.URN + at)
             want += math.log10(drawn + before) if drawn + before else math.log10(lattice.URN) + spelled
         assert math.isclose(row.score, want, rel_tol=1e-9)
+
+
+def counted_plainly(model, words):
+    """How often each node is expected, position by position in plain Python; bytes at the root."""
+    after, counts = {}, np.zeros(len(model.value))
+    for key, node in zip(model.keys.tolist(), model.next.tolist()):
+        after[key >> 21, chr(key & 0x1FFFFF)] = node
+
+    def log_sum(values):
+        return max(values) + math.log(sum(math.exp(v - max(values)) for v in values))
+
+    for word in words:
+        text, arcs = "▁" + word, []
+        for start, char in enumerate(text):
+            node, found = 0, []
+            for end in range(start + 1, len(text) + 1):
+                node = after.get((node, text[end - 1]), 0)
+                if not node:
+                    break
+                if model.value[node] > -math.inf:
+                    found.append((start, end, model.value[node], node, 1))
+            if not any(end == start + 1 for _, end, *_ in found):
+                size = len(char.encode())
+                found.append((start, start + 1, size * model.byte, 0, size))
+            arcs += found
+        into, onward = defaultdict(list), defaultdict(list)
+        into[0], onward[len(text)] = [0.0], [0.0]
+        for start, end, weight, *_ in arcs:
+            into[end].append(log_sum(into[start]) + weight)
+        for start, end, weight, *_ in reversed(arcs):
+            onward[start].append(weight + log_sum(onward[end]))
+        before, beyond = ({k: log_sum(v) for k, v in some.items()} for some in (into, onward))
+        for start, end, weight, node, times in arcs:
+            counts[node] += times * math.exp(before[start] + weight + beyond[end] - before[len(text)])
+    return counts
+
+
+@pytest.mark.parametrize("span", [1 << 17, 700, 256, 10])
+def test_expected_pieces_of_long_words(monkeypatch, span):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeinrstéß日", k=k)) for k in (300, 511, 512, 1023, 1400)] + ["z" * 900, "in" * 400, "there"]
+    model = lattice.Lattice(PIECES)
+    want = counted_plainly(model, words)
+    monkeypatch.setattr(lattice, "SPAN", span)
+    assert np.allclose(model.expected(words), want, rtol=1e-9, atol=1e-12)
+    learned = model.weighted(want)
+    assert np.allclose(learned.expected(words), counted_plainly(learned, words), rtol=1e-9, atol=1e-12)
+
+
+def test_every_round_is_over_all_learned_words(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "SAMPLE", 50)
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choices(["th", "er", "on", "é", "re", "日", "qu"], k=rng.randrange(1, 6))) for _ in range(900)} | {"ab" * 400, "x" * 70, "日" * 600})
+    texts = [" ".join(words[n::30] + words[:3]) for n in range(30)]
+    held = next(n for n in range(100, 1000) if zlib.crc32(str(n).encode()) % 10 == 0)
+    ids = [n for n in range(1000) if zlib.crc32(str(n).encode()) % 10][:30]
+    df = spark.createDataFrame([*zip(ids, texts), (held, "unlearned " * 5), (None, None)], "doc_id long, text string").repartition(3)
+    table = lattice.vocabulary(df, "text", ~lattice.held_out("doc_id")).cache()
+    first = model = lattice.lattice_of(PIECES)
+    for _ in range(3):
+        counts = counted_plainly(model, words)
+        model = first.weighted(counts)
+    assert np.allclose(lattice.learn_pieces(table, PIECES, len(words)), counts, rtol=1e-9, atol=1e-12)
+    with pytest.raises(RuntimeError):
+        lattice.learn_pieces(table, PIECES, len(words) + 1)
